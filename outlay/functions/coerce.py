@@ -19,9 +19,10 @@ TEXT_DATE_PATTERNS = (
     "d MMM yyyy",
     "d-MMM-yyyy",
     "yyyy/M/d",
-    "EEE MMM d yyyy",
-    "EEE, d MMM yyyy",
+    "yyyy MMM d",
 )
+WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
+CLOCK = r"[\sT]+\d{1,2}:\d{2}.*$"
 CENTURY_PIVOT = 70
 PROCUREMENT_PATTERNS = (
     ("sole-source", r"(sole.?source|single.?source|no.?bid|non.?competitive|sole)"),
@@ -79,7 +80,8 @@ def date(c: Column) -> Column:
     us_year = part(us, 3)
     century = F.when(us_year.cast("int") < CENTURY_PIVOT, "20").otherwise("19")
     full_year = F.when(F.length(us_year) == 2, F.concat(century, us_year)).otherwise(us_year)
-    spelled = F.coalesce(*[F.try_to_date(s, p) for p in TEXT_DATE_PATTERNS])
+    words = text(F.regexp_replace(F.regexp_replace(s, WEEKDAY, ""), CLOCK, ""))
+    spelled = F.coalesce(*[F.try_to_date(words, p) for p in TEXT_DATE_PATTERNS])
     return (
         F.when(s.rlike(iso), _ymd(part(iso, 1), part(iso, 2), part(iso, 3)))
         .when(s.rlike(us), _ymd(full_year, part(us, 1), part(us, 2)))

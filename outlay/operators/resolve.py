@@ -42,6 +42,7 @@ UNKNOWN_VENDOR = "Unknown vendor"
 # Only the speed of the candidate join depends on the order.
 BY_FREQUENCY = " ETAOINSRHLDCUMFPGWYBVKXJQZ0123456789"
 RARITY_CODES = "".join(chr(0x30 + len(BY_FREQUENCY) - i) for i in range(len(BY_FREQUENCY)))
+SEPARATOR = "\x1f"
 #: Rows of one signature that one task may pair with as many others; larger groups are
 #: cut into a grid of cells of this size.
 HOT_SIGNATURE = 2_000
@@ -180,6 +181,12 @@ def _prefix(s: Column, shared: Column, q: int, least: float) -> Column:
     return F.array_distinct(F.slice(F.array_sort(coded), F.lit(1), keep))
 
 
+def _under(head: Column, pieces: Column) -> Column:
+    """Each piece with the head in front; no pieces give an empty array."""
+    joined = F.transform(pieces, lambda g: F.concat_ws(SEPARATOR, head, g))
+    return F.coalesce(joined, F.array().cast("array<string>"))
+
+
 def signatures_of(clusters: DataFrame, t: Thresholds) -> DataFrame:
     """Cluster rows repeated for every signature; candidates share one.
 
@@ -204,13 +211,10 @@ def signatures_of(clusters: DataFrame, t: Thresholds) -> DataFrame:
     for tier, where, applies, boost in tiers:
         least = t.least_ratio(boost)
         short = _always_overlap(2, least)
-        head = [F.lit(tier), F.col("block"), where]
         for q, fits in ((2, F.lit(True)), (1, length < short)):
             pieces = F.when(applies & fits, _prefix(sorted_name, shared, q, least))
-            prefixed = F.transform(
-                pieces, lambda g, q=q, head=head: F.concat_ws("\x1f", *head, F.lit(str(q)), g)
-            )
-            parts.append(F.coalesce(prefixed, F.array().cast("array<string>")))
+            head = F.concat_ws(SEPARATOR, F.lit(f"{tier}{q}"), "block", where)
+            parts.append(_under(head, pieces))
     return (
         blocks_of(clusters.withColumn("sorted", sorted_tokens(F.col("norm"))))
         .withColumn("signature", F.explode(F.concat(*parts)))
@@ -305,7 +309,7 @@ def merge_edges(scored: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
 def review_pairs(scored: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Pairs too weak to merge and too close to ignore, best first."""
     band = (F.col("score") >= t.review) & (F.col("score") < t.merge)
-    reason = F.concat(F.lit("name "), F.format_number("name_similarity", "0.000"))
+    reason = F.concat(F.lit("name "), F.format_string("%.3f", "name_similarity"))
     return scored.where(band).select(
         F.col("a").alias("normalized_a"), F.col("b").alias("normalized_b"), "score", reason.alias("reason")
     ).orderBy(F.desc("score"), "normalized_a", "normalized_b")
