@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from outlay.schema import MONEY
 
-# What counts as whitespace, the accepted text dates, the two-digit year
-# pivot, and the procurement vocabulary with its ordered patterns.
+# What counts as whitespace, the shapes of dates with the ISO form each is
+# rewritten to (two-digit years pivot at 70), and the procurement vocabulary with its
+# ordered patterns.
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-TEXT_DATE_PATTERNS = (
-    "MMMM d, yyyy",
-    "MMM d, yyyy",
-    "MMMM d yyyy",
-    "MMM d yyyy",
-    "d MMMM yyyy",
-    "d MMM yyyy",
-    "d-MMM-yyyy",
-    "yyyy/M/d",
-    "yyyy MMM d",
+MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+DATE_SHAPES = (
+    (r"^(\d{4}-\d{2}-\d{2})[T ].*$", "$1"),
+    (r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?:[T ].*)?$", "$3-$1-$2"),
+    (r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{3})(?:[T ].*)?$", "0$3-$1-$2"),
+    (r"^(\d{1,2})[/.-](\d{1,2})[/.-]([0-6]\d)(?:[T ].*)?$", "20$3-$1-$2"),
+    (r"^(\d{1,2})[/.-](\d{1,2})[/.-]([7-9]\d)(?:[T ].*)?$", "19$3-$1-$2"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})(?:[T ].*)?$", "$1-$2-$3"),
+    (rf"(?i)^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?{MONTH}\s+(\d{{1,2}}),?\s+(\d{{4}})(?:\s.*)?$", "$3-$1-$2"),
+    (rf"(?i)^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?(\d{{1,2}})[\s-]+{MONTH},?[\s-]+(\d{{4}})(?:\s.*)?$", "$3-$2-$1"),
 )
-WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
-CLOCK = r"[\sT]+\d{1,2}:\d{2}.*$"
-CENTURY_PIVOT = 70
+DATE_FORMAT = "yyyy-[MMM][M]-d"
 PROCUREMENT_PATTERNS = (
     ("sole-source", r"(sole.?source|single.?source|no.?bid|non.?competitive|sole)"),
     (
@@ -50,44 +50,19 @@ def amount(c: Column) -> Column:
     """Signed money. Parentheses, a leading minus or a trailing minus negate; currency
     text and thousands commas go; dots after the first are dropped; no digits is null."""
     s = strip(c)
-    wrapped = s.rlike(r"^\(.*\)$")
-    body = F.when(wrapped, F.regexp_replace(s, r"^\(|\)$", "")).otherwise(s)
-    negative = wrapped | body.rlike(rf"^{SPACE}*-|-{SPACE}*$")
-    digits = F.regexp_replace(body, r"[^0-9.]", "")
-    whole = F.substring_index(digits, ".", 1)
-    fraction = F.regexp_replace(digits, r"^[^.]*", "")
-    number = F.concat(whole, F.lit("."), F.regexp_replace(fraction, r"\.", ""))
-    value = F.when(digits.rlike(r"[0-9]"), number.try_cast(MONEY))
-    return F.when(negative, -value).otherwise(value).cast(MONEY)
-
-
-def _ymd(year: Column, month: Column, day: Column) -> Column:
-    iso = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.try_to_date(iso, "yyyy-MM-dd")
+    sign = F.when(s.rlike(r"(?s)^(\(.*\)|-.*|.*-)$"), "-").otherwise("")
+    digits = F.regexp_replace(s, r"[^0-9.]", "")
+    number = F.regexp_replace(digits, r"(^[0-9]*\.)|\.", "$1")
+    return F.concat(sign, number).try_cast(MONEY)
 
 
 def date(c: Column) -> Column:
-    """ISO prefix, then month/day/year, then ``YYYYMMDD``, then the listed text forms.
-    The first form whose shape fits decides; impossible calendar dates are null."""
+    """ISO prefix, month/day/year, ``YYYYMMDD`` or a month name; impossible calendar dates
+    are null. The shapes exclude each other, so each rewrites the text at most once."""
     s = strip(c)
-    iso = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ].*)?$"
-    us = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})(?:[T ].*)?$"
-    compact = r"^(\d{4})(\d{2})(\d{2})$"
-
-    def part(pattern: str, i: int) -> Column:
-        return F.regexp_extract(s, pattern, i)
-
-    us_year = part(us, 3)
-    century = F.when(us_year.cast("int") < CENTURY_PIVOT, "20").otherwise("19")
-    full_year = F.when(F.length(us_year) == 2, F.concat(century, us_year)).otherwise(us_year)
-    words = text(F.regexp_replace(F.regexp_replace(s, WEEKDAY, ""), CLOCK, ""))
-    spelled = F.coalesce(*[F.try_to_date(words, p) for p in TEXT_DATE_PATTERNS])
-    return (
-        F.when(s.rlike(iso), _ymd(part(iso, 1), part(iso, 2), part(iso, 3)))
-        .when(s.rlike(us), _ymd(full_year, part(us, 1), part(us, 2)))
-        .when(s.rlike(compact), _ymd(part(compact, 1), part(compact, 2), part(compact, 3)))
-        .when(s.rlike(r"\d{4}"), spelled)
-    )
+    for shape, iso in DATE_SHAPES:
+        s = F.regexp_replace(s, shape, iso)
+    return F.try_to_date(s, DATE_FORMAT)
 
 
 def integer(c: Column) -> Column:
