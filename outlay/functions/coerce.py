@@ -10,18 +10,21 @@ from outlay.schema import MONEY
 # What counts as whitespace, the shapes of dates with the ISO form each is
 # rewritten to (two-digit years pivot at 70), and the procurement vocabulary with its
 # ordered patterns.
+SPACE_CHARS = " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+NUMERIC_DATE_SHAPES = (
+    (r"^(\d[\d/.-]*)[T ].*$", "$1"),
+    (r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})$", "$3-$1-$2"),
+    (r"^([0-6]\d-\d)", "20$1"),
+    (r"^([7-9]\d-\d)", "19$1"),
+    (r"^(\d{3}-\d)", "0$1"),
+    (r"^(\d{4})/?(\d{2})/?(\d{2})$", "$1-$2-$3"),
+)
+WEEKDAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?"
 MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
-DATE_SHAPES = (
-    (r"^(\d{4}-\d{2}-\d{2})[T ].*$", "$1"),
-    (r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?:[T ].*)?$", "$3-$1-$2"),
-    (r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{3})(?:[T ].*)?$", "0$3-$1-$2"),
-    (r"^(\d{1,2})[/.-](\d{1,2})[/.-]([0-6]\d)(?:[T ].*)?$", "20$3-$1-$2"),
-    (r"^(\d{1,2})[/.-](\d{1,2})[/.-]([7-9]\d)(?:[T ].*)?$", "19$3-$1-$2"),
-    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
-    (r"^(\d{4})/(\d{1,2})/(\d{1,2})(?:[T ].*)?$", "$1-$2-$3"),
-    (rf"(?i)^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?{MONTH}\s+(\d{{1,2}}),?\s+(\d{{4}})(?:\s.*)?$", "$3-$1-$2"),
-    (rf"(?i)^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?(\d{{1,2}})[\s-]+{MONTH},?[\s-]+(\d{{4}})(?:\s.*)?$", "$3-$2-$1"),
+WORDED_DATE_SHAPES = (
+    (rf"(?i)^{WEEKDAY}{MONTH}\s+(\d{{1,2}}),?\s+(\d{{4}})(?:\s.*)?$", "$3-$1-$2"),
+    (rf"(?i)^{WEEKDAY}(\d{{1,2}})[\s-]+{MONTH},?[\s-]+(\d{{4}})(?:\s.*)?$", "$3-$2-$1"),
 )
 DATE_FORMAT = "yyyy-[MMM][M]-d"
 PROCUREMENT_PATTERNS = (
@@ -38,7 +41,7 @@ PROCUREMENT_OTHER = "other"
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def text(c: Column) -> Column:
@@ -58,11 +61,14 @@ def amount(c: Column) -> Column:
 
 def date(c: Column) -> Column:
     """ISO prefix, month/day/year, ``YYYYMMDD`` or a month name; impossible calendar dates
-    are null. The shapes exclude each other, so each rewrites the text at most once."""
-    s = strip(c)
-    for shape, iso in DATE_SHAPES:
-        s = F.regexp_replace(s, shape, iso)
-    return F.try_to_date(s, DATE_FORMAT)
+    are null. Shapes are rewritten to one ISO-like form, which is parsed once."""
+    numeric = worded = strip(c)
+    for shape, iso in NUMERIC_DATE_SHAPES:
+        numeric = F.regexp_replace(numeric, shape, iso)
+    for shape, iso in WORDED_DATE_SHAPES:
+        worded = F.regexp_replace(worded, shape, iso)
+    has_word = c.rlike("[A-Za-z]{3}.*[0-9]{4}")
+    return F.try_to_date(F.when(has_word, worded).otherwise(numeric), DATE_FORMAT)
 
 
 def integer(c: Column) -> Column:
@@ -78,11 +84,11 @@ def fiscal_year(day: Column, start_month: int) -> Column:
 
 
 def procurement(c: Column) -> Column:
-    """One of the five vocabulary words; absent text is null, unknown text is ``other``."""
-    lowered = F.lower(text(c))
-    chain = F.when(lowered.isNull(), F.lit(None).cast("string"))
+    """One of the five vocabulary words; absent text is null, unknown text is ``other``.
+    ``c`` is looked at once per pattern, so pass a column rather than an expression."""
+    chain = F.when(F.coalesce(strip(c), F.lit("")) == "", F.lit(None).cast("string"))
     for word, pattern in PROCUREMENT_PATTERNS:
-        chain = chain.when(lowered.rlike(pattern), F.lit(word))
+        chain = chain.when(c.rlike(f"(?i){pattern}"), F.lit(word))
     return chain.otherwise(F.lit(PROCUREMENT_OTHER))
 
 

@@ -6,14 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def row_id(jurisdiction: Column, source_record_id: Column, raw: Column) -> Column:
+def digest(row: Column) -> Column:
+    """Hash of a whole source row written as text."""
+    return F.sha2(row, 256)
+
+
+def row_id(jurisdiction: Column, source_record_id: Column, row_digest: Column) -> Column:
     """Id of a payment line: the same source row gives the same id on every run.
 
-    A source record id may cover several lines, so the whole source row is hashed. Map
-    entries are sorted first, which makes the id independent of column order.
+    A source record id may cover several lines, so the hash of the whole row is part of it.
     """
-    entries = F.to_json(F.array_sort(F.map_entries(raw)))
-    return F.concat_ws(":", jurisdiction, source_record_id, F.sha2(entries, 256))
+    return F.concat_ws(":", jurisdiction, source_record_id, row_digest)
 
 
 def slug(c: Column) -> Column:

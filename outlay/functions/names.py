@@ -29,11 +29,13 @@ def vendor_key(c: Column, fold_accents: bool = False) -> Column:
     s = F.upper(F.coalesce(c, F.lit("")))
     if fold_accents:
         s = F.translate(s, ACCENTED, PLAIN)
-    s = F.regexp_replace(s, "&", " AND ")
-    s = F.trim(F.regexp_replace(s, "[^A-Z0-9]+", " "))
-    s = F.regexp_replace(s, "^THE ", "")
+    s = F.replace(s, F.lit("&"), F.lit(" AND "))
+    # Two spaces around every word: neighbouring suffixes then do not share one.
+    s = F.concat(F.lit("  "), F.regexp_replace(s, "[^A-Z0-9]+", "  "), F.lit("  "))
     for long, short in SUFFIXES.items():
-        s = F.regexp_replace(s, rf"\b{long}\b", short)
+        s = F.replace(s, F.lit(f" {long} "), F.lit(f" {short} "))
+    s = F.trim(F.replace(s, F.lit("  "), F.lit(" ")))
+    s = F.regexp_replace(s, "^THE ", "")
     return F.regexp_replace(s, r"(?<=^[A-Z0-9]| [A-Z0-9]) (?=[A-Z0-9](?: |$))", "")
 
 

@@ -72,12 +72,12 @@ def payee_name():
 
 CTES["payee"] = """
   SELECT p_partkey,
-         (CASE WHEN p_partkey % 11 = 0 THEN 'The ' ELSE '' END)
-         || upper(CASE WHEN p_partkey % 7 = 0
+         upper((CASE WHEN p_partkey % 11 = 0 THEN 'The ' ELSE '' END)
+         || (CASE WHEN p_partkey % 7 = 0
                   THEN left(p_name, CAST(pos - 1 AS BIGINT)) || substr(p_name, CAST(pos + 1 AS BIGINT))
                   ELSE p_name END) || ' ' || p_type
          || CASE p_partkey % 5 WHEN 0 THEN ' Inc' WHEN 1 THEN ' Incorporated' WHEN 2 THEN ', INC.'
-                               WHEN 3 THEN ' L.L.C.' ELSE ' & Company' END AS upper_name,
+                               WHEN 3 THEN ' L.L.C.' ELSE ' & Company' END) AS upper_name,
          CASE WHEN p_partkey % 4 = 0 THEN NULL
               WHEN p_size % 3 = 0 THEN 'CA' WHEN p_size % 3 = 1 THEN 'TX' ELSE 'NY' END AS state,
          CASE WHEN p_partkey % 3 = 0 THEN lpad(CAST(p_size * 100 AS VARCHAR), 5, '0') END AS zip,
