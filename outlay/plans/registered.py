@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from outlay.plans import q_explore, q_normalize, q_resolve, q_spend  # noqa: F401
+from outlay.plans import q_events, q_explore, q_normalize, q_resolve, q_spend  # noqa: F401
 from outlay.plans.catalog import QUERIES, SQL, Query
 
 
