@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Copies of the rule side, and shares of the fact side, when it is too large to broadcast.
 SALTS = 64
+KEY_SEPARATOR = "\x1f"
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -50,42 +49,36 @@ def join_rules(facts: DataFrame, rules: DataFrame, on: list[str], how: str = "in
     return facts.withColumn("_salt", seed).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def join_wildcards(
-    facts: DataFrame, rules: DataFrame, on: dict[str, str]
-) -> DataFrame:
+def join_wildcards(facts: DataFrame, rules: DataFrame, on: dict[str, str]) -> DataFrame:
     """Join where a null rule column accepts every fact and any other must be equal.
 
-    ``on`` maps fact columns to rule columns. Each combination of filled rule columns is
-    one equi-join on those columns, so there is no nested loop over all pairs. Only
-    combinations that occur among the rules are joined; there are at most ``2**len(on)``.
+    ``on`` maps fact columns to rule columns. A rule's key is the set of columns it fills
+    with their values; a fact gets one key per set that occurs among the rules, at most
+    ``2**len(on)``. So facts are scanned once and the join is on equal keys, with no loop
+    over all pairs.
     """
-    patterns = [
-        tuple(r)
-        for r in rules.select(*[F.col(c).isNotNull().alias(c) for c in on.values()])
-        .distinct()
-        .collect()
-    ]
-    joined = []
-    for pattern in sorted(patterns):
-        chosen = rules
-        pairs = []
-        for (fact, rule), filled in zip(on.items(), pattern):
-            chosen = chosen.where(F.col(rule).isNotNull() if filled else F.col(rule).isNull())
-            if filled:
-                pairs.append((fact, rule))
-        joined.append(_equi(facts, chosen, pairs))
-    if not joined:
-        return _equi(facts, rules.where(F.lit(False)), [])
-    return reduce(DataFrame.unionByName, joined)
-
-
-def _equi(facts: DataFrame, rules: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Inner join on the given pairs; with no pairs a constant key stands in."""
-    keyed_facts = facts.withColumn("_k", F.lit(0))
-    keyed_rules = rules.withColumn("_k", F.lit(0))
-    names = ["_k"]
-    for i, (fact, rule) in enumerate(pairs):
-        keyed_facts = keyed_facts.withColumn(f"_k{i}", F.col(fact))
-        keyed_rules = keyed_rules.withColumn(f"_k{i}", F.col(rule))
-        names.append(f"_k{i}")
-    return join_rules(keyed_facts, keyed_rules, names).drop(*names)
+    filled = [F.col(c).isNotNull() for c in on.values()]
+    patterns = sorted(
+        tuple(r) for r in rules.select(*[c.alias(str(i)) for i, c in enumerate(filled)]).distinct().collect()
+    )
+    keys = F.array_compact(
+        F.array(*[_pattern_key(p, list(on)) for p in patterns]).cast("array<string>")
+    )
+    pattern = F.concat_ws("", *[F.when(c, "1").otherwise("0") for c in filled])
+    rule_key = F.concat_ws(KEY_SEPARATOR, pattern, *on.values())
+    return join_rules(
+        facts.withColumn("_key", F.explode(keys)), rules.withColumn("_key", rule_key), ["_key"]
+    ).drop("_key")
+
+
+def _pattern_key(pattern: tuple[bool, ...], columns: list[str]) -> Column:
+    """Key of a fact under one pattern; null when it lacks a value the pattern fills."""
+    bits = "".join("1" if p else "0" for p in pattern)
+    used = [F.col(c) for c, p in zip(columns, pattern) if p]
+    key = F.concat_ws(KEY_SEPARATOR, F.lit(bits), *used)
+    if not used:
+        return key
+    known = used[0].isNotNull()
+    for c in used[1:]:
+        known = known & c.isNotNull()
+    return F.when(known, key)
