@@ -114,8 +114,10 @@ def payees(spark, sf):
     )
 
 
-def extract(spark, sf):
-    """Line items as a portal would publish them: every column is text."""
+def extract(spark, sf, lines=None):
+    """Line items as a portal would publish them: every column is text. ``lines`` may be a
+    stream of line items."""
+    lines = table(spark, sf, "lineitem") if lines is None else lines
     line = F.col("l_linenumber")
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     commas = F.format_number(price, 2)
@@ -143,7 +145,7 @@ def extract(spark, sf):
             F.lit("not a date"),
         ],
     )
-    lines = table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
+    lines = lines.withColumnRenamed("l_partkey", "p_partkey")
     return lines.join(payees(spark, sf), "p_partkey").select(
         F.col("l_orderkey").cast("string").alias("payment_no"),
         F.when(line == 1, "  ").otherwise(F.col("name_raw")).alias("vendor_name"),

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from outlay.plans import q_events, q_explore, q_normalize, q_resolve, q_spend  # noqa: F401
+from outlay.plans import (  # noqa: F401
+    q_events,
+    q_explore,
+    q_health,
+    q_normalize,
+    q_resolve,
+    q_spend,
+    q_store,
+)
 from outlay.plans.catalog import QUERIES, SQL, Query
 
 

@@ -49,11 +49,13 @@ def _procurement() -> Column:
     return chosen
 
 
-def payments(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Payments with the asked columns."""
+def payments(
+    spark: SparkSession, sf_dir: str, *columns: str, lines: DataFrame | None = None
+) -> DataFrame:
+    """Payments with the asked columns. ``lines`` may be a stream of line items."""
     wanted = set(columns)
     day = F.to_date("l_shipdate")
-    lines = {
+    own = {
         "id": F.concat_ws(
             ":",
             *["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
@@ -64,19 +66,20 @@ def payments(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         "vendor_id": F.concat(F.lit("S"), "l_suppkey"),
         "amount": _amount(),
         "date": day,
+        "time": F.col("l_shipdate").cast("timestamp"),
         "period": coerce.period(day),
         "fiscal_year": coerce.fiscal_year(day, FISCAL_START),
     }
-    df = table(spark, sf_dir, "lineitem")
-    kept = [c for c in lines if c in wanted]
-    dims = wanted - set(lines)
+    df = table(spark, sf_dir, "lineitem") if lines is None else lines
+    kept = [c for c in own if c in wanted]
+    dims = wanted - set(own)
     keys = {
         "l_orderkey": ORDER_COLUMNS | CUSTOMER_COLUMNS | NATION_COLUMNS,
         "l_partkey": PART_COLUMNS,
         "l_suppkey": SUPPLIER_COLUMNS,
     }
     carried = [k for k, needs in keys.items() if dims & needs]
-    df = df.select(*[lines[c].alias(c) for c in kept], *carried)
+    df = df.select(*[own[c].alias(c) for c in kept], *carried)
     if dims & PART_COLUMNS:
         part = table(spark, sf_dir, "part").select(
             F.col("p_partkey").alias("l_partkey"),
