@@ -148,6 +148,13 @@ def block_sizes(clusters: DataFrame) -> DataFrame:
     return blocks_of(clusters).groupBy("block").agg(F.count(F.lit(1)).alias("clusters"))
 
 
+def _needed_blocks(clusters: DataFrame) -> DataFrame:
+    """Blocks without those another one implies: names with an equal first word of four
+    or more characters have an equal prefix, so only short first words need their block."""
+    short = F.length(tokens(F.col("norm"))[0]) < BLOCK_PREFIX
+    return blocks_of(clusters).where(F.col("block").startswith("p:") | short)
+
+
 def _grams(s: Column, q: int) -> Column:
     last = F.length(s) - (q - 1)
     pieces = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: s.substr(i, F.lit(q)))
@@ -216,7 +223,7 @@ def signatures_of(clusters: DataFrame, t: Thresholds) -> DataFrame:
             head = F.concat_ws(SEPARATOR, F.lit(f"{tier}{q}"), "block", where)
             parts.append(_under(head, pieces))
     return (
-        blocks_of(clusters.withColumn("sorted", sorted_tokens(F.col("norm"))))
+        _needed_blocks(clusters.withColumn("sorted", sorted_tokens(F.col("norm"))))
         .withColumn("signature", F.explode(F.concat(*parts)))
         .select("signature", "norm", "sorted", "city", "state", "zip")
     )

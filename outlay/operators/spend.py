@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,11 +140,9 @@ def volume_metrics(txns: DataFrame, jurisdictions: DataFrame, vendors: DataFrame
 
 
 def _side_by_side(*frames: DataFrame) -> DataFrame:
-    """Put one-row results next to each other."""
-    head, *rest = [f.withColumn("_one", F.lit(1)) for f in frames]
-    for other in rest:
-        head = head.join(other, "_one")
-    return head.drop("_one")
+    """Put one-row results next to each other: a union with gaps, closed by one aggregate."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def composition(totals: DataFrame, scope: list[str], value: str = "total") -> DataFrame:

@@ -112,7 +112,7 @@ _VENDOR = (*_LABEL, "summed", "vendor")
 def mentions(spark, sf):
     lines = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
     named = payees(spark, sf).withColumn("name_raw", F.upper("name_raw"))
-    return lines.join(named, "p_partkey").withColumn("norm", names.vendor_key(F.col("name_raw")))
+    return lines.join(named.withColumn("norm", names.vendor_key(F.col("name_raw"))), "p_partkey")
 
 
 def _clusters(spark, sf):

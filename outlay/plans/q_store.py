@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from outlay.operators import events as ev
-from outlay.operators import store
+from outlay.operators import spend, store
 from outlay.plans.catalog import money, query, sql
 from outlay.plans.q_events import watches
 from outlay.plans.q_normalize import CONFIG, _LINE, extract
@@ -195,7 +195,7 @@ def stream_spikes(spark, sf):
     path = scratch_path(spark, "spikes")
     running = jobs.stream_spikes(
         arriving,
-        lambda: payments(spark, sf, "fund", "period", "amount"),
+        lambda: spend.group_sum(payments(spark, sf, "fund", "period", "amount"), "fund", "period"),
         "fund",
         f"{path}/out",
         f"{path}/state",
