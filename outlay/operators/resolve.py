@@ -277,8 +277,9 @@ def candidate_pairs(
     )
     once = (F.col("a.i") < F.col("a.j")) | (F.col("a.norm") < F.col("b.norm"))
     no_conflict = F.coalesce(F.col("a.state") == F.col("b.state"), F.lit(True))
-    distance = F.levenshtein("a.sorted", "b.sorted")
-    near = (longest - shortest <= allowed) & (distance <= allowed)
+    # With a bound the distance is only followed within it; beyond it is -1.
+    distance = F.call_function("levenshtein", F.col("a.sorted"), F.col("b.sorted"), allowed)
+    near = (longest - shortest <= allowed) & (distance >= 0)
     met = lower.alias("a").join(
         upper.alias("b"),
         same_cell & once & (F.col("a.norm") != F.col("b.norm")) & no_conflict & near,
