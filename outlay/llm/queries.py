@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import packing, simhash
+from outlay.llm import mixing, packing, quality, simhash
 from outlay.llm.base import table
 from outlay.plans.catalog import Query
 
@@ -24,12 +24,25 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(table(spark, sf_dir, "documents"))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mix.select("doc_id", "size", "source_size", "target", taken)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judged(quality.text_statistics(table(spark, sf_dir, "documents")))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op5_simhash": op5_simhash,
         "op6_packing": op6_packing,
+        "op9_mixing": op9_mixing,
+        "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": mixing.ORACLE_SQL}
