@@ -124,8 +124,8 @@ def _statistics(text: str, words: int, word_chars: int, symbols: int, repeated:
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """Counts and statistics of every row: ``doc_id``, ``lang``, ``source``, ``COUNTS``, and
-    one whole number per statistic."""
+    """Counts and statistics of every row: ``doc_id``, ``lang``, ``source``, ``content`` (a
+    hash that tells rows with one id apart), ``COUNTS``, and a whole number per statistic."""
 
     def work(rows: pa.RecordBatch) -> dict:
         texts = rows.column("text")
@@ -143,10 +143,10 @@ def text_statistics(docs: DataFrame) -> DataFrame:
             grid = np.round(np.clip(stats, 0, 1) * GRID).astype(int).tolist()
             for name, value in zip(out, (*counts, *grid)):
                 out[name].append(value)
-        return out | {c: rows.column(c) for c in ("doc_id", "lang", "source")}
+        return out | {c: rows.column(c) for c in ("doc_id", "lang", "source", "content")}
 
     schema = ", ".join(
-        ["doc_id long", "lang string", "source string"]
+        ["doc_id long", "lang string", "source string", "content long"]
         + [f"{c} long" for c in COUNTS]
         + [f"{c} long" for c in NAMES]
     )
@@ -154,11 +154,17 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long"),
         F.col("lang").cast("string"),
         F.col("source").cast("string"),
+        content().alias("content"),
         text_or_empty().alias("text"),
     )
     return in_batches(texts, work, schema)
 
 
+def content() -> Column:
+    """Rows with the same value have the same text, language and source, so one verdict."""
+    return F.xxhash64("lang", "source", "text")
+
+
 def base_failed() -> Column:
     often = 100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")
     return (F.col("n_words") < LEAST_WORDS) | often

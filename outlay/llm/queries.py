@@ -6,11 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import mixing, packing, quality, simhash
+from outlay.llm import mixing, packing, pii, quality, simhash
 from outlay.llm.base import table
 from outlay.plans.catalog import Query
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Of the registered queries only; a real corpus gets a secret of its own.
+PSEUDONYM_KEY = "registered queries"
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymized(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", "n_found")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +44,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_pii": op4_pii,
         "op5_simhash": op5_simhash,
         "op6_packing": op6_packing,
         "op9_mixing": op9_mixing,
