@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import mixing, packing, pii, quality, simhash
+from outlay.llm import extraction, mixing, packing, pii, quality, secrets, simhash
 from outlay.llm.base import table
 from outlay.plans.catalog import Query
 
@@ -15,6 +15,21 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PSEUDONYM_KEY = "registered queries"
 
 
+def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    counts = [
+        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
+        for k, name in enumerate(secrets.KINDS)
+    ]
+    digest = F.sha2(secrets.written(base), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secrets.written(F.col("spans")).alias("spans"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pseudonymized(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
     return found.select("doc_id", "text", "n_found")
@@ -44,6 +59,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_extraction": op1_extraction,
+        "op2_secrets": op2_secrets,
         "op4_pii": op4_pii,
         "op5_simhash": op5_simhash,
         "op6_packing": op6_packing,
