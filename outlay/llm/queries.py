@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import extraction, mixing, packing, pii, quality, secrets, simhash, toxicity
+from outlay.llm import extraction, forest, mixing, packing, pii, quality, secrets, simhash, toxicity
 from outlay.llm.base import table
 from outlay.plans.catalog import Query
 
@@ -57,6 +57,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(table(spark, sf_dir, "documents"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
@@ -76,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op5_simhash": op5_simhash,
         "op6_packing": op6_packing,
         "op7_toxicity": op7_toxicity,
+        "op8_forest": op8_forest,
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
     }
