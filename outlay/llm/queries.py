@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import extraction, forest, mixing, packing, pii, quality, secrets, simhash, toxicity
+from outlay.llm import (
+    extraction,
+    forest,
+    licenses,
+    mixing,
+    packing,
+    pii,
+    quality,
+    secrets,
+    simhash,
+    toxicity,
+)
 from outlay.llm.base import table
 from outlay.plans.catalog import Query
 
@@ -30,6 +41,16 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, digest, secrets.written(F.col("spans")).alias("spans"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.array_join(F.array_sort(F.array_distinct("licence")), ",").alias("licences"),
+        F.size("licence").cast("long").alias("n_matches"),
+        F.coalesce(F.array_max("dice"), F.lit(0.0)).alias("best_dice"),
+    )
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pseudonymized(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
     return found.select("doc_id", "text", "n_found")
@@ -76,6 +97,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_extraction": op1_extraction,
         "op2_secrets": op2_secrets,
+        "op3_licenses": op3_licenses,
         "op4_pii": op4_pii,
         "op5_simhash": op5_simhash,
         "op6_packing": op6_packing,
@@ -87,4 +109,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ORACLE_SQL}
+    return {"op3_licenses": licenses.oracle_sql(), "op9_mixing": mixing.ORACLE_SQL}
