@@ -131,7 +131,8 @@ def mixture(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     source and text are one document, taken as often as all of them together."""
     copies = mixed(docs).groupBy(F.col("doc_id").alias("_doc_id"), F.col("content").alias("_content"))
     copies = copies.agg(F.sum("copies").alias("_copies")).where(F.col("_copies") > 0)
-    found = only(docs, *columns).withColumn("_same", _content())
+    needed = dict.fromkeys((*columns, "doc_id", "source", "text"))
+    found = only(docs, *needed).withColumn("_same", _content())
     found = found.join(
         copies, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_same") == F.col("_content"))
     ).dropDuplicates(["_doc_id", "_content"])

@@ -17,7 +17,6 @@ rows are packed once each; an empty table gives no rows; a null ``doc_id`` stays
 from __future__ import annotations
 
 import zlib
-from bisect import insort
 from functools import lru_cache
 
 import numpy as np
@@ -34,8 +33,9 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces that one task packs together.
 CELL_PIECES = 32_768
-#: Bins in a row that local search fails to empty before it gives a cell up.
-PATIENCE = 48
+#: Passes of local search over a cell, and bins whose pairs it considers.
+PASSES = 4
+EMPTIEST = 16
 #: Words whose ids a worker remembers; the memory starts afresh beyond it.
 REMEMBERED = 600_000
 LONGEST_REMEMBERED = 64
@@ -184,95 +184,109 @@ def _best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def _local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Drain the emptiest underfull bins into fuller ones.
-
-    Every step takes length from the bin with the lowest fill and gives it to a fuller one,
-    which raises the sum of squared fills, so the search ends.
-    """
-    free = [capacity - sum(lengths[i] for i in items) for items in bins]
-    spare = sum(free)
-    order = sorted((b for b in range(len(bins)) if free[b]), key=lambda b: (-free[b], b))
-    failed = 0
-    for source in order:
-        if spare < capacity or failed >= PATIENCE:
+    """Move and exchange documents until the free space makes up less than one bin, or no
+    exchange helps. Fuller bins are filled first, from the emptiest that have what fits."""
+    state = _Underfull(bins, lengths, capacity)
+    for _ in range(PASSES):
+        if state.spare < capacity or not state.improve():
             break
-        if not bins[source]:
-            continue
-        others = [b for b in order if b != source and bins[b] and free[b] <= free[source]]
-        if _drain(source, others, bins, free, lengths):
-            spare -= capacity
-            failed = 0
-        else:
-            failed += 1
     return [items for items in bins if items]
 
 
-def _drain(source: int, others: list[int], bins, free, lengths) -> bool:
-    """Whether ``source`` could be emptied; what was exchanged on the way stays."""
-    singles = _Offers([(lengths[y], b, (y,)) for b in others for y in bins[b]])
-    pairs = _Offers(
-        [
-            (lengths[x] + lengths[y], b, (x, y))
-            for b in others
-            for x, y in zip(bins[b], bins[b][1:])
-        ]
-    )
-    room = sorted((free[b], b) for b in others if free[b])
-    moved = True
-    while bins[source] and moved:
-        moved = False
-        for given in _gifts(bins[source]):
-            size = sum(lengths[i] for i in given)
-            fits = next(((r, b) for r, b in room if r >= size and r == free[b]), None)
-            if fits:
-                target, taken = fits[1], ()
-            else:
-                found = singles.best(size, free, bins)
-                if not found and len(given) == 1:
-                    found = pairs.best(size, free, bins)
+class _Underfull:
+    """Bins with room, and their documents by length.
+
+    An exchange gives a bin documents of an emptier one for some of its own that are shorter
+    by no more than its room. It raises the sum of squared fills, so the search ends.
+    """
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self._bins, self._lengths = bins, lengths
+        self._free = [capacity - sum(lengths[i] for i in items) for items in bins]
+        self._capacity = capacity
+        self.spare = sum(self._free)
+        self._bin_of = {i: b for b, items in enumerate(bins) if self._free[b] for i in items}
+        self._items: dict[int, list[int]] = {}
+        self._lengths_held = 0  # a bit for every length
+        for i in self._bin_of:
+            self._hold(i)
+
+    def _hold(self, i: int) -> None:
+        self._items.setdefault(self._lengths[i], []).append(i)
+        self._lengths_held |= 1 << self._lengths[i]
+
+    def improve(self) -> bool:
+        """One pass over the bins, fullest first; whether anything was exchanged."""
+        order = sorted({*self._bin_of.values()}, key=lambda b: (self._free[b], b))
+        emptiest = order[-EMPTIEST:]
+        changed = False
+        for target in order:
+            while self._bins[target] and self._free[target] and self.spare >= self._capacity:
+                found = self._exchange(target, emptiest)
                 if not found:
-                    continue
-                target, taken = found
-            gain = size - sum(lengths[y] for y in taken)
-            bins[source] = [i for i in bins[source] if i not in given] + list(taken)
-            bins[target] = [i for i in bins[target] if i not in taken] + list(given)
-            free[target] -= gain
-            free[source] += gain
-            if free[target]:
-                insort(room, (free[target], target))
-            moved = True
-            break
-    return not bins[source]
-
-
-def _gifts(items: list[int]) -> list[tuple[int, ...]]:
-    """What the source may give: one document, or two for one."""
-    return [(i,) for i in items] + list(zip(items, items[1:]))
-
-
-class _Offers:
-    """What other bins may give in exchange, searched for the exchange that fills the other
-    bin best."""
-
-    def __init__(self, offers: list[tuple[int, int, tuple[int, ...]]]):
-        self._size = np.array([o[0] for o in offers], dtype=np.int64)
-        self._bin = np.array([o[1] for o in offers], dtype=np.int64)
-        self._offers = offers
-
-    def best(self, size: int, free: list[int], bins) -> tuple[int, tuple[int, ...]] | None:
-        if not self._offers:
-            return None
-        gain = size - self._size
-        room = np.array(free, dtype=np.int64)[self._bin]
-        gain = np.where((gain > 0) & (gain <= room), gain, 0)
-        for k in np.argsort(-gain, kind="stable")[:8]:
-            if gain[k] <= 0:
-                return None
-            _, b, items = self._offers[k]
-            if all(i in bins[b] for i in items):  # it may have left since the list was made
-                return b, items
+                    break
+                self._apply(target, *found)
+                changed = True
+        return changed
+
+    def _exchange(self, target: int, emptiest: list[int]) -> tuple | None:
+        """The exchange that fills the target most: the source, what it gives and takes."""
+        room, own = self._free[target], self._bins[target]
+        offers = [(0, ())] + [(self._lengths[i], (i,)) for i in own]
+        offers += [(self._lengths[i] + self._lengths[j], (i, j)) for i, j in zip(own, own[1:])]
+        best, gain = None, 0
+        for size, taken in dict(offers).items():
+            item = self._longest(size + gain, size + room, target)
+            if item is not None:
+                best, gain = (self._bin_of[item], (item,), taken), self._lengths[item] - size
+                if gain == room:
+                    return best
+        for source in emptiest:
+            if source == target or self._free[source] < room:
+                continue
+            items = self._bins[source]
+            for i, j in zip(items, items[1:]):
+                both = self._lengths[i] + self._lengths[j]
+                for size, taken in offers[: len(own) + 1]:
+                    if gain < both - size <= room:
+                        best, gain = (source, (i, j), taken), both - size
+        return best
+
+    def _longest(self, above: int, most: int, target: int) -> int | None:
+        """A document longer than ``above`` and of ``most`` at most, from a bin no fuller than
+        the target: the longest there is."""
+        most = min(most, self._capacity - self._free[target])
+        held = self._lengths_held & ((1 << (most + 1)) - 1)
+        while held >> (above + 1):
+            length = held.bit_length() - 1
+            items = self._items[length] = [
+                i for i in self._items[length] if i in self._bin_of
+            ]
+            sources = [i for i in items if self._may_give(self._bin_of[i], target)]
+            if sources:
+                return max(sources, key=lambda i: self._free[self._bin_of[i]])
+            if not items:
+                self._lengths_held ^= 1 << length
+            held ^= 1 << length
         return None
 
+    def _may_give(self, source: int, target: int) -> bool:
+        return source != target and self._free[source] >= self._free[target]
+
+    def _apply(self, target: int, source: int, given: tuple, taken: tuple) -> None:
+        bins, free = self._bins, self._free
+        gain = sum(self._lengths[i] for i in given) - sum(self._lengths[i] for i in taken)
+        bins[source] = [i for i in bins[source] if i not in given] + list(taken)
+        bins[target] = [i for i in bins[target] if i not in taken] + list(given)
+        free[target] -= gain
+        free[source] += gain
+        self._bin_of.update({i: target for i in given} | {i: source for i in taken})
+        if not bins[source]:
+            self.spare -= self._capacity
+        if not free[target]:  # full: out of the search
+            for i in bins[target]:
+                del self._bin_of[i]
+
 
 def assemble(packed: DataFrame, pieces_with_ids: DataFrame) -> DataFrame:
     """The token ids of every sequence: ``sequence_id long, ids array<binary>`` in order."""
