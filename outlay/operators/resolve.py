@@ -212,7 +212,7 @@ def signatures_of(clusters: DataFrame, t: Thresholds) -> DataFrame:
         ),
         ("zip", F.col("zip"), F.col("zip").isNotNull(), ZIP_BOOST + STATE_BOOST + CITY_BOOST),
     ]
-    shared = F.substring("block", 3, 10_000)
+    shared = F.substring("block", F.lit(3), F.length("block"))
     length = F.length(sorted_name)
     parts = []
     for tier, where, applies, boost in tiers:

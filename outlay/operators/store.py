@@ -1,12 +1,16 @@
 """Stored tables: plain Parquet, partitioned, written through Spark's own overwrite modes.
 
-An upsert rewrites only the partitions it touches. The merged rows are staged in the
-shared folder first, so a job that dies half way can simply be run again.
+An upsert reads and rewrites only the partitions it touches. The batch is staged in the
+shared folder, merged with the stored rows of those partitions, and written once: Spark
+writes the new files beside the old ones and switches partitions when all tasks are done.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +20,11 @@ from outlay.operators.common import ranked
 from outlay.schema import TABLES
 from outlay.session import scratch_path
 
+#: Folder name of a null partition value.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+#: Buckets of the vendor tables; a save rewrites those its vendors fall into.
+VENDOR_BUCKETS = 32
+
 # Business keys of records without an id of their own.
 BUDGET_KEY = ("jurisdiction_id", "fiscal_year", "department", "category")
 CONTRACT_KEY = ("jurisdiction_id", "vendor_name_normalized", "amount", "term_start")
@@ -30,8 +39,8 @@ class Counts:
 
 
 def business_key(columns: tuple[str, ...]) -> Column:
-    """One text key; null parts are empty."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    """One key, in which equal texts of different columns stay apart; null parts are empty."""
+    return F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
 
 
 def last_wins(df: DataFrame, key: list[str], order: Column) -> DataFrame:
@@ -39,6 +48,13 @@ def last_wins(df: DataFrame, key: list[str], order: Column) -> DataFrame:
     return ranked(df, key, [order.desc()], 1).drop("rank")
 
 
+def any_order(df: DataFrame) -> Column:
+    """An order for batches that have none: the same on every run, latest retrieval last."""
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    latest = [F.col("retrieved_at")] if "retrieved_at" in df.columns else []
+    return F.struct(*latest, F.xxhash64(*plain).alias("_hash"))
+
+
 def split_new(batch: DataFrame, stored: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Batch rows whose key is not stored yet, and those whose key is."""
     known = stored.select(*key)
@@ -71,10 +87,13 @@ class Store:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def _folder(self, path: str):
+        """A path and its file system."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def exists(self, table: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        fs = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        target, fs = self._folder(self.path(table))
         return bool(fs.exists(target))
 
     def read(self, table: str) -> DataFrame:
@@ -105,76 +124,148 @@ class Store:
         self._write(df, table, partition or [], "append")
 
     def upsert(
-        self, batch: DataFrame, table: str, key: list[str], partition: list[str], order: Column | None = None
+        self,
+        batch: DataFrame,
+        table: str,
+        key: list[str],
+        partition: str,
+        order: Column | None = None,
+        moves: bool = True,
     ) -> Counts:
         """Insert or replace rows by key. Of equal keys in the batch the last one wins.
 
-        Rows move when their partition changed, so the partitions of the replaced rows
-        are rewritten together with those of the batch.
+        Stored rows are read in the partitions of the batch only. With ``moves`` a stored row
+        may lie in another partition than its new version, so the keys of the others are
+        looked through as well; tables whose keys contain the partition need not do that.
         """
-        unique = last_wins(batch, key, order) if order is not None else batch.dropDuplicates(key)
-        unique = self._staged(unique)
-        stored = self.read(table)
-        counts = upsert_counts(unique, stored, key).first()
-        replaced = stored.join(unique.select(*key), key, "left_semi")
-        touched = (
-            unique.select(*partition).unionByName(replaced.select(*partition)).distinct()
-        )
-        same = [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in partition]
-        inside = stored.alias("s").join(touched.alias("t"), same, "left_semi")
-        self._overwrite(merged(unique, inside, key), table, partition)
+        unique = last_wins(batch, key, order if order is not None else any_order(batch))
+        with self._staged(unique) as unique:
+            touched = self._values(unique, partition)
+            stored = self.read(table)
+            if moves:
+                elsewhere = stored.where(~self._within(partition, touched))
+                found = elsewhere.join(unique.select(*key), key, "left_semi")
+                touched += self._values(found, partition)
+            inside = stored.where(self._within(partition, touched))
+            counts = upsert_counts(unique, inside, key).first()
+            self._replace(merged(unique, inside, key), table, partition, touched)
         return Counts(counts["inserted"], counts["updated"])
 
-    def _staged(self, df: DataFrame) -> DataFrame:
+    @staticmethod
+    def _values(df: DataFrame, partition: str) -> list:
+        """Partition values of a batch; as many as it has jurisdictions or buckets."""
+        return [r[0] for r in df.select(partition).distinct().collect()]
+
+    @staticmethod
+    def _within(partition: str, values: list) -> Column:
+        """A filter on a partition column, which prunes the scan."""
+        column = F.col(partition)
+        some = [v for v in values if v is not None]
+        inside = column.isin(some) if some else F.lit(False)
+        if None in values:
+            return column.isNull() | F.coalesce(inside, F.lit(False))
+        return column.isNotNull() & inside
+
+    @contextmanager
+    def _staged(self, df: DataFrame) -> Iterator[DataFrame]:
+        """Rows written to the shared folder for as long as they are needed."""
         path = scratch_path(self.spark, "stage")
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _overwrite(self, df: DataFrame, table: str, partition: list[str]) -> None:
-        self._write(self._staged(df), table, partition, "overwrite")
-
-    def replace_jurisdiction(self, df: DataFrame, table: str) -> None:
-        """Replace everything stored for the jurisdictions in ``df``."""
-        self._overwrite(df, table, ["jurisdiction_id"])
-
-    def insert_absent(self, df: DataFrame, table: str, key: list[str]) -> int:
-        """Append rows whose key is not stored; returns how many."""
-        fresh = self._staged(
-            df.dropDuplicates(key).join(self.read(table).select(*key), key, "left_anti")
-        )
-        n = fresh.count()
-        self.append(fresh, table)
+        try:
+            df.write.parquet(path)
+            yield self.spark.read.schema(df.schema).parquet(path)
+        finally:
+            target, fs = self._folder(path)
+            fs.delete(target, True)
+
+    def _replace(self, df: DataFrame, table: str, partition: str, touched: list) -> None:
+        """Write the rows of the touched partitions. Those that get none keep their old
+        folder, which Spark does not overwrite, so they are removed."""
+        if self.exists(table):
+            left = set(self._values(df, partition))
+            emptied = [v for v in touched if v not in left]
+        else:
+            emptied = []
+        self._write(df, table, [partition], "overwrite")
+        if emptied:
+            names = {NULL_PARTITION if v is None else str(v) for v in emptied}
+            target, fs = self._folder(self.path(table))
+            for status in fs.listStatus(target):
+                name, _, value = status.getPath().getName().partition("=")
+                if name == partition and unquote(value) in names:
+                    fs.delete(status.getPath(), True)
+        self.spark.catalog.refreshByPath(self.path(table))
+
+    def replace_jurisdiction(
+        self, df: DataFrame, table: str, jurisdictions: list[str] | None = None
+    ) -> None:
+        """Replace everything stored for the named jurisdictions, those of ``df`` by default.
+        One that ``df`` has no rows for is cleared."""
+        with self._staged(df) as rows:
+            own = self._values(rows, "jurisdiction_id")
+            self._replace(rows, table, "jurisdiction_id", own if jurisdictions is None else jurisdictions)
+
+    def insert_absent(
+        self, df: DataFrame, table: str, key: list[str], partition: str, alike: tuple[str, ...] = ()
+    ) -> int:
+        """Append rows whose key is not stored; returns how many. Stored keys are looked up in
+        the partitions of the batch and among its values of the columns ``alike``, so equal
+        keys must agree in these."""
+        with self._staged(last_wins(df, key, any_order(df))) as batch:
+            stored = self.read(table)
+            for column in (partition, *alike):
+                stored = stored.where(self._within(column, self._values(batch, column)))
+            with self._staged(batch.join(stored.select(*key), key, "left_anti")) as fresh:
+                n = fresh.count()
+                if n:
+                    self.append(fresh, table, [partition])
+        self.spark.catalog.refreshByPath(self.path(table))
         return n
 
-    def save_transactions(self, batch: DataFrame, order: Column | None = None) -> Counts:
-        return self.upsert(batch, "transactions", ["id"], ["jurisdiction_id"], order)
+    def save_transactions(
+        self, batch: DataFrame, order: Column | None = None, moves: bool = True
+    ) -> Counts:
+        """Without ``moves`` ids must contain the jurisdiction, as normalized rows' ids do."""
+        return self.upsert(batch, "transactions", ["id"], "jurisdiction_id", order, moves)
 
-    def save_budgets(self, batch: DataFrame) -> Counts:
-        return self._by_business_key(batch, "budgets", BUDGET_KEY)
+    def save_budgets(self, batch: DataFrame, order: Column | None = None) -> Counts:
+        return self._by_business_key(batch, "budgets", BUDGET_KEY, order)
 
-    def save_contracts(self, batch: DataFrame) -> Counts:
-        return self._by_business_key(batch, "contracts", CONTRACT_KEY)
+    def save_contracts(self, batch: DataFrame, order: Column | None = None) -> Counts:
+        return self._by_business_key(batch, "contracts", CONTRACT_KEY, order)
 
-    def _by_business_key(self, batch: DataFrame, table: str, columns: tuple[str, ...]) -> Counts:
-        keyed = self._staged(
-            batch.withColumn("_key", business_key(columns)).dropDuplicates(["_key"])
+    def _by_business_key(
+        self, batch: DataFrame, table: str, columns: tuple[str, ...], order: Column | None
+    ) -> Counts:
+        """Of rows with one business key the last by ``order`` stays."""
+        keyed = last_wins(
+            batch.withColumn("_key", business_key(columns)),
+            ["_key"],
+            order if order is not None else any_order(batch),
         )
-        stored = self.read(table).withColumn("_key", business_key(columns))
-        counts = upsert_counts(keyed, stored, ["_key"]).first()
-        jurisdictions = keyed.select("jurisdiction_id").distinct()
-        inside = stored.join(jurisdictions, "jurisdiction_id", "left_semi")
-        self._overwrite(merged(keyed, inside, ["_key"]).drop("_key"), table, ["jurisdiction_id"])
+        with self._staged(keyed) as keyed:
+            touched = self._values(keyed, "jurisdiction_id")
+            stored = self.read(table).where(self._within("jurisdiction_id", touched))
+            stored = stored.withColumn("_key", business_key(columns))
+            counts = upsert_counts(keyed, stored, ["_key"]).first()
+            rows = merged(keyed, stored, ["_key"]).drop("_key")
+            self._replace(rows, table, "jurisdiction_id", touched)
         return Counts(counts["inserted"], counts["updated"])
 
     def save_vendors(self, vendors: DataFrame, variants: DataFrame) -> None:
-        """Replace the attributes of the given vendors; others stay."""
-        fresh = self._staged(vendors)
-        self._overwrite(merged(fresh, self.read("vendors"), ["vendor_id"]), "vendors", [])
-        kept = self.read("vendor_variants").join(fresh.select("vendor_id"), "vendor_id", "left_anti")
-        self._overwrite(kept.unionByName(self._staged(variants)), "vendor_variants", [])
+        """Replace the attributes and spellings of the given vendors; others stay. Only the
+        buckets they fall into are read and written."""
+        bucket = F.pmod(F.xxhash64("vendor_id"), F.lit(VENDOR_BUCKETS)).cast("int")
+        with self._staged(vendors.withColumn("bucket", bucket)) as fresh:
+            touched = self._values(fresh, "bucket")
+            for table, rows in (("vendors", fresh), ("vendor_variants", variants.withColumn("bucket", bucket))):
+                stored = self.read(table).where(self._within("bucket", touched))
+                kept = stored.join(fresh.select("vendor_id"), "vendor_id", "left_anti")
+                self._replace(kept.unionByName(rows, allowMissingColumns=True), table, "bucket", touched)
 
     def save_events(self, events: DataFrame) -> int:
-        return self.insert_absent(events, "spend_events", ["dedupe_key"])
+        return self.insert_absent(
+            events, "spend_events", ["dedupe_key"], "jurisdiction_id", ("period",)
+        )
 
     def save_run(self, run: DataFrame) -> None:
         self.append(run, "sync_runs")

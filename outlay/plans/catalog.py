@@ -48,10 +48,11 @@ CTES: dict[str, str] = {
 
 
 def sql(body: str, *ctes: str, recursive: bool = False) -> str:
-    """A statement with the named common table expressions in front, in the given order."""
+    """A statement with the named common table expressions in front, in the given order. Each
+    is computed once, however often the others use it."""
     if not ctes:
         return body
-    parts = ",\n".join(f"{name} AS ({CTES[name]}\n)" for name in ctes)
+    parts = ",\n".join(f"{name} AS MATERIALIZED ({CTES[name]}\n)" for name in ctes)
     return f"WITH {'RECURSIVE ' if recursive else ''}{parts}\n{body}"
 
 

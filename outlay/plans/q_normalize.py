@@ -18,7 +18,6 @@ from outlay.operators import normalize as norm
 from outlay.plans.catalog import CTES, money, query, sql
 from outlay.plans.txn import table
 from outlay.sources import selection
-from outlay.sources.files import spread
 
 RETRIEVED = dt.datetime(2024, 1, 31, 12, 0, 0)
 
@@ -64,7 +63,7 @@ def payee_name():
     typo_at = (2 + F.floor(key / 7) % (F.length("p_name") - 3)).cast("int")
     mistyped = F.concat(
         F.col("p_name").substr(F.lit(1), typo_at - 1),
-        F.col("p_name").substr(typo_at + 1, F.lit(100)),
+        F.col("p_name").substr(typo_at + 1, F.length("p_name")),
     )
     base = F.when(key % 7 == 0, mistyped).otherwise(F.col("p_name"))
     suffix = _choose(key % 5, [" Inc", " Incorporated", ", INC.", " L.L.C.", " & Company"])
@@ -118,7 +117,7 @@ def payees(spark, sf):
 def extract(spark, sf, lines=None):
     """Line items as a portal would publish them: every column is text. ``lines`` may be a
     stream of line items."""
-    lines = spread(table(spark, sf, "lineitem")) if lines is None else lines
+    lines = table(spark, sf, "lineitem") if lines is None else lines
     line = F.col("l_linenumber")
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     commas = F.format_number(price, 2)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from outlay.operators import events as ev
-from outlay.operators import spend, store
+from outlay.operators import store
 from outlay.plans.catalog import money, query, sql
 from outlay.plans.q_events import watches
 from outlay.plans.q_normalize import CONFIG, _LINE, extract
@@ -110,10 +110,152 @@ def store_replace_jurisdiction(spark, sf):
     return _totals(tables.read("transactions"))
 
 
-def stream(spark, sf, name):
-    """A driver table as a stream of its file."""
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+@query(
+    "store_upsert_moves",
+    sql(
+        f"""SELECT CASE WHEN jurisdiction_id = 'CHINA' THEN 'FRANCE' ELSE jurisdiction_id END
+         AS jurisdiction_id, count(*) AS count, {money('sum(amount)', 'total')} FROM txn GROUP BY 1""",
+        "txn",
+    ),
+)
+def store_upsert_moves(spark, sf):
+    """All rows of a jurisdiction move to another one, which leaves its partition empty."""
+    rows = payments(spark, sf, "id", "jurisdiction_id", "amount")
+    tables = store.Store(spark, scratch_path(spark, "moves"))
+    tables.save_transactions(rows)
+    moved = rows.where("jurisdiction_id = 'CHINA'")
+    tables.save_transactions(moved.withColumn("jurisdiction_id", F.lit("FRANCE")))
+    return _totals(tables.read("transactions"))
+
+
+def _last_by_key(key, amount):
+    columns = ", ".join(key)
+    return sql(
+        f"""SELECT {columns}, {money('amount', amount)}
+FROM (SELECT *, row_number() OVER (PARTITION BY {columns} ORDER BY date DESC, id DESC) AS n
+      FROM (SELECT *, vendor_id AS vendor_name_normalized, make_date(year(date), 1, 1) AS term_start
+            FROM txn)) WHERE n = 1""",
+        "txn",
+    )
+
+
+_BUDGET = ("jurisdiction_id", "fiscal_year", "department", "category")
+
+
+@query("store_budgets", _last_by_key(_BUDGET, "amount_budgeted"))
+def store_budgets(spark, sf):
+    """Many rows per business key, in two batches: the last of each key stays."""
+    rows = payments(spark, sf, "id", "date", "amount", *_BUDGET)
+    rows = rows.withColumnRenamed("amount", "amount_budgeted")
+    tables = store.Store(spark, scratch_path(spark, "budgets"))
+    early = F.col("date") < F.lit(STORED_BEFORE).cast("date")
+    for part in (rows.where(early), rows.where(~early)):
+        tables.save_budgets(part, F.struct("date", "id"))
+    return tables.read("budgets").select(*_BUDGET, "amount_budgeted")
+
+
+_CONTRACT = ("jurisdiction_id", "vendor_name_normalized", "amount", "term_start")
+
+
+@query(
+    "store_contracts",
+    sql(
+        f"""SELECT jurisdiction_id, count(*) AS count, {money('sum(amount)', 'total')}
+FROM (SELECT DISTINCT jurisdiction_id, vendor_id, amount, year(date) FROM txn) GROUP BY jurisdiction_id""",
+        "txn",
+    ),
+)
+def store_contracts(spark, sf):
+    rows = payments(spark, sf, "jurisdiction_id", "vendor_id", "amount", "date")
+    rows = rows.withColumnRenamed("vendor_id", "vendor_name_normalized")
+    rows = rows.withColumn("term_start", F.trunc("date", "year"))
+    tables = store.Store(spark, scratch_path(spark, "contracts"))
+    tables.save_contracts(rows)
+    tables.save_contracts(rows.where(F.col("amount") > 0))
+    return _totals(tables.read("contracts"))
+
+
+@query(
+    "store_events_absent",
+    sql(
+        """SELECT jurisdiction_id, period, count(*) AS count FROM txn WHERE amount > 50000
+GROUP BY ALL""",
+        "txn",
+    ),
+)
+def store_events_absent(spark, sf):
+    """The same events twice, and more of them the second time."""
+    rows = payments(spark, sf, "id", "jurisdiction_id", "period", "amount")
+    events = rows.withColumnRenamed("id", "dedupe_key")
+    tables = store.Store(spark, scratch_path(spark, "absent"))
+    tables.save_events(events.where("amount > 80000"))
+    tables.save_events(events.where("amount > 50000"))
+    return tables.read("spend_events").groupBy("jurisdiction_id", "period").agg(
+        F.count(F.lit(1)).alias("count")
+    )
+
+
+@query(
+    "store_vendors",
+    """SELECT s.vendor_id, s.canonical_name, v.variant, v.mentions
+FROM (SELECT 'S' || s_suppkey AS vendor_id, s_suppkey,
+             CASE WHEN s_suppkey % 3 = 0 THEN upper(s_name) ELSE s_name END AS canonical_name
+      FROM supplier) s
+JOIN (SELECT 'S' || s_suppkey AS vendor_id, s_name AS variant, 1 AS mentions FROM supplier
+      WHERE s_suppkey % 3 <> 0
+      UNION ALL SELECT 'S' || s_suppkey, upper(s_name), 2 FROM supplier WHERE s_suppkey % 3 = 0) v
+  USING (vendor_id)""",
+)
+def store_vendors(spark, sf):
+    """All vendors, then new attributes and spellings for every third."""
+    supplier = table(spark, sf, "supplier")
+    named = lambda df, name, n: (
+        df.select(F.concat(F.lit("S"), "s_suppkey").alias("vendor_id"), name.alias("canonical_name")),
+        df.select(
+            F.concat(F.lit("S"), "s_suppkey").alias("vendor_id"),
+            name.alias("variant"),
+            F.lit(n).cast("long").alias("mentions"),
+        ),
+    )
+    tables = store.Store(spark, scratch_path(spark, "vendors"))
+    tables.save_vendors(*named(supplier, F.col("s_name"), 1))
+    tables.save_vendors(*named(supplier.where("s_suppkey % 3 = 0"), F.upper("s_name"), 2))
+    vendors = tables.read("vendors").select("vendor_id", "canonical_name")
+    return vendors.join(tables.read("vendor_variants").drop("bucket"), "vendor_id")
+
+
+@query(
+    "store_runs",
+    """SELECT event_type AS dataset_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day,
+       count(*) AS rows_seen FROM events GROUP BY ALL""",
+)
+def store_runs(spark, sf):
+    """A run record per event type and day, appended type by type."""
+    events = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    runs = events.groupBy(F.col("event_type").alias("dataset_id"), "day").agg(
+        F.count(F.lit(1)).alias("rows_seen")
+    )
+    runs = runs.withColumn("started_at", F.col("day").cast("timestamp"))
+    tables = store.Store(spark, scratch_path(spark, "runs"))
+    is_click = F.col("dataset_id") == "click"
+    for part in (runs.where(is_click), runs.where(~is_click)):
+        tables.save_run(part)
+    day = F.date_format("started_at", "yyyy-MM-dd").alias("day")
+    return tables.read("sync_runs").select("dataset_id", day, "rows_seen")
+
+
+SLICES = 4
+
+
+def stream(spark, sf, name, day):
+    """A driver table as a stream of several files that hold days out of order, one for each
+    micro-batch where the table is small."""
+    rows = table(spark, sf, name)
+    path = scratch_path(spark, f"landed-{name}")
+    sliced = rows.withColumn("_slice", F.pmod(F.dayofyear(day), F.lit(SLICES)))
+    sliced.hint("rebalance", "_slice").write.partitionBy("_slice").parquet(path)
+    reader = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True)
+    return reader.option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _finish(running):
@@ -129,12 +271,13 @@ def _finish(running):
 FROM events GROUP BY ALL""",
 )
 def stream_totals(spark, sf):
-    events = stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = stream(spark, sf, "events", "ts").withColumn("ts", F.col("ts").cast("timestamp"))
     path = scratch_path(spark, "totals")
     value = F.col("value").cast("decimal(18,2)")
-    arguments = ("ts", "1 day", "2 hours", ["event_type"], value)
+    arguments = ("ts", "1 day", ["event_type"], value)
     _finish(jobs.stream_totals(events, *arguments, f"{path}/out", f"{path}/state"))
-    return jobs.latest_totals(spark.read.parquet(f"{path}/out"), ["event_type"])
+    written = spark.read.parquet(f"{path}/out")
+    return jobs.running_totals(written, ["window_start", "window_end", "event_type"])
 
 
 @query(
@@ -155,53 +298,50 @@ FROM (SELECT *, CASE kind WHEN 'vendor-paid' THEN 'vendor-payment' ELSE 'thresho
 )
 def stream_watch_events(spark, sf):
     columns = ["id", "jurisdiction_id", "vendor_id", "vendor_name", "department", "category"]
-    lines = stream(spark, sf, "lineitem")
+    lines = stream(spark, sf, "lineitem", "l_shipdate")
     rows = payments(spark, sf, *columns, "period", "amount", "time", lines=lines)
-    rows = rows.withColumnRenamed("time", "date")
-    path, rules = scratch_path(spark, "events"), watches(spark, sf)
-    running = jobs.stream_watch_events(
-        rows,
-        lambda df: ev.payment_events(df, rules),
-        "date",
-        "30 days",
-        f"{path}/out",
-        f"{path}/state",
-    )
-    _finish(running)
-    return spark.read.parquet(f"{path}/out").select("dedupe_key", "watch_id", "amount")
+    rows = rows.withColumn("date", F.to_date("time")).drop("time")
+    tables = store.Store(spark, scratch_path(spark, "events"))
+    state, rules = scratch_path(spark, "events-state"), watches(spark, sf)
+    _finish(jobs.stream_watch_events(rows, lambda df: ev.payment_events(df, rules), tables, state))
+    return tables.read("spend_events").select("dedupe_key", "watch_id", "amount")
 
 
 @query(
     "stream_ingest",
     sql(
         f"""SELECT vendor_name_normalized, category, count(*) AS count, {money('sum(amount)', 'total')}
-FROM line WHERE amount IS NOT NULL GROUP BY ALL""",
+FROM line WHERE amount IS NOT NULL GROUP BY ALL
+UNION ALL SELECT '(rejected)', NULL, count(*), NULL FROM line WHERE amount IS NULL""",
         *_LINE,
     ),
 )
 def stream_ingest(spark, sf):
-    lines = stream(spark, sf, "lineitem")
+    lines = stream(spark, sf, "lineitem", "l_shipdate")
     tables = store.Store(spark, scratch_path(spark, "ingest"))
     state = scratch_path(spark, "ingest-state")
     _finish(jobs.stream_ingest(extract(spark, sf, lines), CONFIG, tables, state))
     stored = tables.read("transactions").groupBy("vendor_name_normalized", "category")
-    return stored.agg(F.count(F.lit(1)).alias("count"), F.sum("amount").alias("total"))
+    stored = stored.agg(F.count(F.lit(1)).alias("count"), F.sum("amount").alias("total"))
+    rejected = tables.read("rejects").agg(F.count(F.lit(1)).alias("count"))
+    return stored.unionByName(
+        rejected.select(
+            F.lit("(rejected)").alias("vendor_name_normalized"),
+            F.lit(None).cast("string").alias("category"),
+            "count",
+            F.lit(None).cast("decimal(28,2)").alias("total"),
+        )
+    )
 
 
 @query("stream_spikes", _spikes("fund").replace("SELECT scope, period", "SELECT scope AS fund, period", 1))
 def stream_spikes(spark, sf):
-    lines = stream(spark, sf, "lineitem")
-    arriving = payments(spark, sf, "fund", lines=lines)
+    lines = stream(spark, sf, "lineitem", "l_shipdate")
+    arriving = payments(spark, sf, "fund", "period", "amount", lines=lines)
     path = scratch_path(spark, "spikes")
-    running = jobs.stream_spikes(
-        arriving,
-        lambda: spend.group_sum(payments(spark, sf, "fund", "period", "amount"), "fund", "period"),
-        "fund",
-        f"{path}/out",
-        f"{path}/state",
-    )
-    _finish(running)
-    found = spark.read.parquet(f"{path}/out").drop(jobs.BATCH)
+    totals, out = f"{path}/totals", f"{path}/out"
+    _finish(jobs.stream_spikes(arriving, "fund", totals, out, f"{path}/state"))
+    found = jobs.latest_spikes(spark.read.parquet(out), spark.read.parquet(totals), "fund")
     for c, digits in (("baseline_mean", 4), ("baseline_std", 4), ("z", 6), ("ratio", 6)):
         found = found.withColumn(c, F.round(c, digits))
     return found

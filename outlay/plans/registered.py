@@ -7,6 +7,7 @@ from outlay.plans import (  # noqa: F401
     q_explore,
     q_health,
     q_normalize,
+    q_readers,
     q_resolve,
     q_spend,
     q_store,

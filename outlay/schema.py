@@ -84,9 +84,10 @@ VENDORS = _struct(
     mention_count=_L,
     variant_count=_L,
     member_count=_L,
+    bucket=T.IntegerType(),
 )
 
-VENDOR_VARIANTS = _struct(vendor_id=_S, variant=_S, mentions=_L)
+VENDOR_VARIANTS = _struct(vendor_id=_S, variant=_S, mentions=_L, bucket=T.IntegerType())
 
 SPEND_AGGREGATES = _struct(
     jurisdiction_id=_S,
@@ -130,6 +131,8 @@ SYNC_RUNS = _struct(
     error_code=_S,
 )
 
+REJECTS = _struct(jurisdiction_id=_S, reason=_S, raw=RAW, dataset_id=_S, batch_id=_L)
+
 WATCHES = _struct(
     watch_id=_S,
     kind=_S,
@@ -150,4 +153,5 @@ TABLES = {
     "spend_aggregates": SPEND_AGGREGATES,
     "spend_events": SPEND_EVENTS,
     "sync_runs": SYNC_RUNS,
+    "rejects": REJECTS,
 }
