@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outlay.llm.base import WORD, only, text_or_empty
+from outlay.operators.common import join_rules
 from outlay.session import cut
 
 # Weights of the sources in turn, share of all words, most copies.
@@ -105,25 +106,27 @@ def mixed(docs: DataFrame) -> DataFrame:
         F.sum("size").alias("source_size"), F.min("place").alias("_first")
     )
     goal = targets(sources.select("source", "source_size"))
-    goal = goal.select(F.col("source").alias("_source"), "source_size", "target")
-    goal = goal.join(
-        sources.select(F.col("source").alias("_same"), "_first"),
-        F.col("_source").eqNullSafe(F.col("_same")),
-    ).drop("_same")
+    first = sources.select(_named(F.col("source")).alias("_key"), "_first")
+    goal = goal.withColumn("_key", _named(F.col("source"))).drop("source").join(first, "_key")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = F.col("place") - F.col("_first")
     upto = F.floor(offset(F.col("source")) + (rank + 1) * rate)
     below = F.floor(offset(F.col("source")) + rank * rate)
     copies = F.least(upto - below, F.lit(MOST_COPIES)).cast("long")
-    return sizes.join(goal, F.col("source").eqNullSafe(F.col("_source"))).select(
+    # Never dealt by source alone: a counted few sources are broadcast, more are salted.
+    return join_rules(sizes.withColumn("_key", _named(F.col("source"))), goal, ["_key"]).select(
         "doc_id", "source", "size", "content", "source_size", "target", copies.alias("copies")
     )
 
 
+def _named(source: Column) -> Column:
+    """A key for a source that null has too."""
+    return F.coalesce(F.concat(F.lit("1"), source), F.lit("0"))
+
+
 def offset(source: Column) -> Column:
     """Between 0 and 1, the same for a source on every run."""
-    named = F.coalesce(F.concat(F.lit("1"), source), F.lit("0"))
-    return F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+    return F.conv(F.substring(F.md5(_named(source)), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
 
 
 def mixture(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
