@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows a side may have to be broadcast. The rule tables joined this way have a handful of
-#: short columns, so this stays in the low tens of megabytes.
+#: Rows and bytes (written as text) a side may have to be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64_000_000
 #: Copies of the rule side, and shares of the fact side, when it is too large to broadcast.
 SALTS = 64
 KEY_SEPARATOR = "\x1f"
@@ -30,9 +30,14 @@ def ascending(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).asc_nulls_last()
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than one row beyond."""
-    return df.limit(rows + 1).count() <= rows
+def fits_broadcast(
+    df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
+) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and about ``size`` bytes at most; looks no
+    further than one row beyond."""
+    text = F.octet_length(F.to_json(F.struct("*")))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(text).alias("size")).first()
+    return found["n"] <= rows and (found["size"] or 0) <= size
 
 
 def join_rules(facts: DataFrame, rules: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

@@ -7,6 +7,7 @@ writes the new files beside the old ones and switches partitions when all tasks
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -205,19 +206,23 @@ class Store:
             self._replace(rows, table, "jurisdiction_id", own if jurisdictions is None else jurisdictions)
 
     def insert_absent(
-        self, df: DataFrame, table: str, key: list[str], partition: str, alike: tuple[str, ...] = ()
+        self,
+        df: DataFrame,
+        table: str,
+        key: list[str],
+        partition: list[str],
+        alike: tuple[str, ...],
     ) -> int:
-        """Append rows whose key is not stored; returns how many. Stored keys are looked up in
-        the partitions of the batch and among its values of the columns ``alike``, so equal
-        keys must agree in these."""
+        """Append rows whose key is not stored; returns how many. Stored keys are looked up
+        among the batch's values of the columns ``alike``, in which equal keys must agree."""
         with self._staged(last_wins(df, key, any_order(df))) as batch:
             stored = self.read(table)
-            for column in (partition, *alike):
+            for column in alike:
                 stored = stored.where(self._within(column, self._values(batch, column)))
             with self._staged(batch.join(stored.select(*key), key, "left_anti")) as fresh:
                 n = fresh.count()
                 if n:
-                    self.append(fresh, table, [partition])
+                    self.append(fresh, table, partition)
         self.spark.catalog.refreshByPath(self.path(table))
         return n
 
@@ -263,9 +268,21 @@ class Store:
                 self._replace(kept.unionByName(rows, allowMissingColumns=True), table, "bucket", touched)
 
     def save_events(self, events: DataFrame) -> int:
+        """Events that are new, as a batch of their own, by which the alert job finds them."""
+        batch = F.lit(time.time_ns() // 1000).alias("event_batch")
         return self.insert_absent(
-            events, "spend_events", ["dedupe_key"], "jurisdiction_id", ("period",)
+            events.withColumn("event_batch", batch),
+            "spend_events",
+            ["dedupe_key"],
+            ["jurisdiction_id", "event_batch"],
+            ("jurisdiction_id", "period"),
         )
 
+    def batches_without_alerts(self) -> list[int]:
+        """Event batches that no alert run has finished."""
+        done = self.read("alert_runs").select("event_batch")
+        batches = self.read("spend_events").select("event_batch").distinct()
+        return sorted(r[0] for r in batches.join(done, "event_batch", "left_anti").collect())
+
     def save_run(self, run: DataFrame) -> None:
         self.append(run, "sync_runs")

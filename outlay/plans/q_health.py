@@ -24,15 +24,20 @@ CTES["run"] = """
          CASE WHEN (day + 2 * k) % 8 = 0 THEN 'failed'
               WHEN (day + k) % 6 <> 0 AND errors > 0 THEN 'partial' ELSE 'success' END AS status,
          day
-  FROM (SELECT user_id % 5 AS k, day(ts) AS day, max(ts) AS finished_at, count(*) AS seen,
+  FROM (SELECT user_id % 5 AS k, CAST(ts AS DATE) - DATE '1970-01-01' AS day, max(ts) AS finished_at, count(*) AS seen,
                count(*) FILTER (event_type = 'error') AS errors
         FROM events GROUP BY ALL)"""
 CTES["recent"] = """
   SELECT *, row_number() OVER (PARTITION BY jurisdiction_id, dataset_id
                                ORDER BY finished_at DESC) AS rank
-  FROM run WHERE status <> 'failed' AND day < 30"""
+  FROM run WHERE status <> 'failed'"""
 CTES["prior"] = """
-  SELECT jurisdiction_id, avg(rows_seen) AS prior_avg FROM recent WHERE rank <= 5 GROUP BY ALL"""
+  SELECT r.jurisdiction_id, r.day, avg(p.rows_seen) AS prior_avg
+  FROM run r, LATERAL (SELECT rows_seen FROM run b
+                       WHERE b.jurisdiction_id = r.jurisdiction_id AND b.status <> 'failed'
+                         AND b.finished_at < r.finished_at
+                       ORDER BY b.finished_at DESC LIMIT 5) p
+  GROUP BY ALL"""
 CTES["reason"] = """
   SELECT run.*, concat_ws('|',
     CASE WHEN error_code = 'portal_shape_changed'
@@ -43,13 +48,13 @@ CTES["reason"] = """
     CASE WHEN mapping_errors > 0 AND mapping_errors >= 0.2e0 * rows_seen
          THEN 'High mapping-failure rate: '
               || CAST(floor(mapping_errors * 100e0 / rows_seen + 0.5) AS BIGINT) || '%' END) AS reasons
-  FROM run LEFT JOIN prior USING (jurisdiction_id)"""
+  FROM run LEFT JOIN prior USING (jurisdiction_id, day)"""
 
 
 def runs(spark, sf):
     events = table(spark, sf, "events")
     k, day = F.col("k"), F.col("day")
-    daily = events.groupBy((F.col("user_id") % 5).alias("k"), F.dayofmonth("ts").alias("day")).agg(
+    daily = events.groupBy((F.col("user_id") % 5).alias("k"), F.unix_date(F.to_date("ts")).cast("long").alias("day")).agg(
         F.max("ts").cast("timestamp").alias("finished_at"),
         F.count(F.lit(1)).alias("seen"),
         F.count_if(F.col("event_type") == "error").alias("errors"),
@@ -95,16 +100,14 @@ def run_status(spark, sf):
     ),
 )
 def recent_rows_seen(spark, sf):
-    past = runs(spark, sf).where("day < 30")
+    past = runs(spark, sf)
     columns = ["jurisdiction_id", "dataset_id", "rank", "rows_seen"]
     return health.recent_rows_seen(past).select(*columns)
 
 
 def _judged(spark, sf):
-    """All runs judged against the recent history before the last day."""
-    every = runs(spark, sf)
-    history = health.recent_rows_seen(every.where("day < 30"))
-    return health.anomaly_reasons(every, health.prior_average(history))
+    """All runs, each judged against the five good ones before it."""
+    return health.judged_runs(health.with_prior_average(runs(spark, sf)))
 
 
 @query(
@@ -149,7 +152,7 @@ def health_latest(spark, sf):
        CASE WHEN n.status IS NULL THEN 'new' WHEN n.status = 'failed' THEN 'broken' ELSE 'active' END
          AS status
 FROM run r LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY jurisdiction_id
-                        ORDER BY finished_at DESC) AS n FROM run WHERE day <= 24) n
+                        ORDER BY finished_at DESC) AS n FROM run) n
   ON n.n = 1 AND n.jurisdiction_id = r.jurisdiction_id AND n.dataset_id = r.dataset_id""",
         "run",
     ),
@@ -159,7 +162,7 @@ def registry_refresh(spark, sf):
     registry = every.select("jurisdiction_id", "dataset_id").distinct()
     registry = registry.withColumn("last_synced_at", F.lit(None).cast("timestamp"))
     registry = registry.withColumn("status", F.lit("new"))
-    return health.refresh_registry(registry, every.where("day <= 24"))
+    return health.refresh_registry(registry, every)
 
 
 @query(
@@ -169,7 +172,7 @@ FROM (SELECT user_id, CASE WHEN user_id % 11 <> 0 THEN max(ts) END AS last_synce
              CASE user_id % 4 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' WHEN 2 THEN 'monthly'
                               ELSE 'yearly' END AS cadence,
              user_id % 13 <> 0 AS is_active
-      FROM events WHERE event_type = 'signup' GROUP BY user_id)
+      FROM events GROUP BY user_id)
 WHERE is_active AND (last_synced_at IS NULL
   OR TIMESTAMP '{NOW}' - last_synced_at >= CASE cadence WHEN 'daily' THEN INTERVAL 20 HOURS
        WHEN 'weekly' THEN INTERVAL 6 DAYS WHEN 'monthly' THEN INTERVAL 27 DAYS
@@ -178,8 +181,7 @@ WHERE is_active AND (last_synced_at IS NULL
 def due_datasets(spark, sf):
     user = F.col("user_id")
     cadence = F.when(user % 4 == 0, "daily").when(user % 4 == 1, "weekly")
-    signups = table(spark, sf, "events").where(F.col("event_type") == "signup")
-    registry = signups.groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("last")).select(
+    registry = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("last")).select(
         user.alias("dataset_id"),
         F.when(user % 11 != 0, F.col("last")).alias("last_synced_at"),
         cadence.when(user % 4 == 2, "monthly").otherwise("yearly").alias("cadence"),

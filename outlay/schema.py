@@ -112,8 +112,15 @@ SPEND_EVENTS = _struct(
     detail=RAW,
     dedupe_key=_S,
     watch_id=_S,
+    event_batch=_L,
 )
 
+ALERTS = _struct(
+    user_id=_S, saved_view_id=_S, dedupe_key=_S, created_at=T.TimestampType(), status=_S, event_batch=_L
+)
+
+ALERT_RUNS = _struct(event_batch=_L, finished_at=T.TimestampType(), alerts=_L)
+
 SYNC_RUNS = _struct(
     jurisdiction_id=_S,
     dataset_id=_S,
@@ -154,4 +161,6 @@ TABLES = {
     "spend_events": SPEND_EVENTS,
     "sync_runs": SYNC_RUNS,
     "rejects": REJECTS,
+    "alerts": ALERTS,
+    "alert_runs": ALERT_RUNS,
 }
