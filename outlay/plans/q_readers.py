@@ -84,12 +84,18 @@ def _land_pages(spark, pages, body):
     return f"{path}/page=*"
 
 
-@query("preview_rows", "SELECT least(count(*), 25) AS previewed, count(*) AS total FROM part")
+@query(
+    "preview_rows",
+    """SELECT 'preview' AS kind, least(count(*), 25) AS count FROM part
+UNION ALL SELECT 'all', count(*) FROM part""",
+)
 def preview_rows(spark, sf):
     """The documented cap of a preview, and none without it."""
     rows = _parts(spark, sf)
-    few = files.preview(rows, 25).agg(F.count(F.lit(1)).alias("previewed"))
-    return few.crossJoin(files.preview(rows).agg(F.count(F.lit(1)).alias("total")))
+    counted = lambda df, kind: df.agg(F.count(F.lit(1)).alias("count")).select(
+        F.lit(kind).alias("kind"), "count"
+    )
+    return counted(files.preview(rows, 25), "preview").unionByName(counted(files.preview(rows), "all"))
 
 
 @query(
