@@ -6,10 +6,13 @@ result is that of a batch over the same table.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from outlay.operators import events as ev
 from outlay.operators import store
+from outlay.plans import ingest
 from outlay.plans.catalog import money, query, sql
 from outlay.plans.q_events import watches
 from outlay.plans.q_normalize import CONFIG, _LINE, extract
@@ -345,3 +348,34 @@ def stream_spikes(spark, sf):
     for c, digits in (("baseline_mean", 4), ("baseline_std", 4), ("z", 6), ("ratio", 6)):
         found = found.withColumn(c, F.round(c, digits))
     return found
+
+
+@query(
+    "bulk_load",
+    sql(
+        f"""SELECT category, strftime(date, '%Y-%m') AS period,
+       CAST(sum(CASE WHEN category = 'Fund O' THEN 2 ELSE 1 END) AS BIGINT) AS count,
+       {money("sum(CASE WHEN category = 'Fund O' THEN 2 ELSE 1 END * amount)", 'total')},
+       0 AS without_vendor
+FROM line WHERE amount IS NOT NULL AND date < DATE '1998-06-01' GROUP BY ALL""",
+        *_LINE,
+    ),
+)
+def bulk_load(spark, sf):
+    """Two extracts of one jurisdiction, the second repeating lines of the first, loaded over
+    older rows; the last month is not complete."""
+    lines = table(spark, sf, "lineitem")
+    whole = extract(spark, sf, lines)
+    repeated = extract(spark, sf, lines.where("l_linestatus = 'O'"))
+    tables = store.Store(spark, scratch_path(spark, "bulk"))
+    stale = spark.range(10).select(
+        F.col("id").cast("string"), F.lit(CONFIG.jurisdiction_id).alias("jurisdiction_id")
+    )
+    tables.save_transactions(stale)
+    ingest.bulk_load(spark, CONFIG, [whole, repeated], tables, dt.datetime(1998, 6, 20))
+    rows = tables.read("transactions").withColumn("period", F.date_format("date", "yyyy-MM"))
+    return rows.groupBy("category", "period").agg(
+        F.count(F.lit(1)).alias("count"),
+        F.sum("amount").alias("total"),
+        F.count_if(F.col("vendor_id").isNull() & (F.col("vendor_name_normalized") != "")).cast("int").alias("without_vendor"),
+    )
