@@ -161,10 +161,18 @@ def _grams(s: Column, q: int) -> Column:
     return F.when(last >= 1, pieces).otherwise(F.array().cast("array<string>"))
 
 
-def _always_overlap(q: int, least: float) -> int:
-    """Length from which two names within the distance must share a q-gram."""
+def _always_overlap(q: int, least: float) -> int | None:
+    """Length from which two names within the distance must share a q-gram; none if the
+    distance grows as fast as the name.
+
+    A name of ``n`` has ``n - q + 1`` grams and loses ``q * floor((1 - least) * n)`` at most,
+    which leaves one at any length from ``q / (1 - q * (1 - least))``.
+    """
+    left = 1 - q * (1 - least)
+    if left <= 1e-6:
+        return None
     short = 1
-    for n in range(1, 400):
+    for n in range(1, math.ceil(q / left) + 2):
         if n - q + 1 - q * math.floor((1 - least) * n + 1e-9) < 1:
             short = n + 1
     return short
@@ -218,7 +226,7 @@ def signatures_of(clusters: DataFrame, t: Thresholds) -> DataFrame:
     for tier, where, applies, boost in tiers:
         least = t.least_ratio(boost)
         short = _always_overlap(2, least)
-        for q, fits in ((2, F.lit(True)), (1, length < short)):
+        for q, fits in ((2, F.lit(True)), (1, F.lit(True) if short is None else length < short)):
             pieces = F.when(applies & fits, _prefix(sorted_name, shared, q, least))
             head = F.concat_ws(SEPARATOR, F.lit(f"{tier}{q}"), "block", where)
             parts.append(_under(head, pieces))

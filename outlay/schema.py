@@ -138,6 +138,15 @@ SYNC_RUNS = _struct(
     error_code=_S,
 )
 
+SPEND_DATASETS = _struct(
+    jurisdiction_id=_S,
+    dataset_id=_S,
+    cadence=_S,
+    is_active=T.BooleanType(),
+    status=_S,
+    last_synced_at=T.TimestampType(),
+)
+
 REJECTS = _struct(jurisdiction_id=_S, reason=_S, raw=RAW, dataset_id=_S, batch_id=_L)
 
 WATCHES = _struct(
@@ -160,6 +169,7 @@ TABLES = {
     "spend_aggregates": SPEND_AGGREGATES,
     "spend_events": SPEND_EVENTS,
     "sync_runs": SYNC_RUNS,
+    "spend_datasets": SPEND_DATASETS,
     "rejects": REJECTS,
     "alerts": ALERTS,
     "alert_runs": ALERT_RUNS,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 from decimal import Decimal
 
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from outlay.config import DatasetConfig
 from outlay.operators.store import Store
-from outlay.plans.ingest import run_ingest
-from outlay.schema import WATCHES
+from outlay.plans.ingest import bulk_load, run_due, run_ingest
+from outlay.schema import SPEND_DATASETS, WATCHES
 from outlay.session import checkpoint_dir
 from outlay.sources import files
 from outlay.streaming import jobs
@@ -219,3 +220,29 @@ def test_spikes_follow_the_totals_of_all_batches(spark, tmp_path):
     assert [r.period for r in run()] == ["2024-12"]
     (folder / "2.csv").write_text("".join(f"a,{m},90000\n" for m in months[:11]))
     assert run() == []  # late rows level the history, and the spike is one no more
+
+
+def test_due_datasets_are_ingested_and_noted(spark, landed, store):
+    rows = [
+        ("demo-city", "d1", "daily", True, "new", None),
+        ("other-city", "d2", "daily", True, "active", NOW - dt.timedelta(hours=1)),
+        ("other-city", "d3", "daily", False, "new", None),
+    ]
+    store.append(spark.createDataFrame(rows, SPEND_DATASETS), "spend_datasets", ["jurisdiction_id"])
+    config = dataclasses.replace(CONFIG, dataset_id="d1")
+    sources = {("demo-city", "d1"): (config, lambda: landed)}
+    runs = run_due(spark, store, sources, NOW)
+    assert {k: r.rows_new for k, r in runs.items()} == {("demo-city", "d1"): 4}
+    noted = {r.dataset_id: (r.status, r.last_synced_at) for r in store.read("spend_datasets").collect()}
+    assert noted["d1"] == ("active", NOW) and noted["d2"][0] == "active" and noted["d3"] == ("new", None)
+    assert run_due(spark, store, sources, NOW + dt.timedelta(hours=2)) == {}
+
+
+def test_bulk_load_replaces_and_keeps_identical_lines(spark, landed, store):
+    stale = spark.createDataFrame([("x", CONFIG.jurisdiction_id)], "id string, jurisdiction_id string")
+    store.save_transactions(stale)
+    run = bulk_load(spark, CONFIG, [landed, landed.limit(2)], store, dt.datetime(2025, 3, 25))
+    assert (run.status, run.rows_seen, run.rows_new) == ("success", 6, 5)  # March is not complete
+    rows = store.read("transactions").collect()
+    assert len({r.id for r in rows}) == 5 and sum(r.amount for r in rows) == 2 * 3000 + 500
+    assert all(r.vendor_id for r in rows)
