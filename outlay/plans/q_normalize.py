@@ -17,6 +17,7 @@ from outlay.operators import health
 from outlay.operators import normalize as norm
 from outlay.plans.catalog import CTES, money, query, sql
 from outlay.plans.txn import table
+from outlay.sources.files import spread
 from outlay.sources import selection
 
 RETRIEVED = dt.datetime(2024, 1, 31, 12, 0, 0)
@@ -114,10 +115,14 @@ def payees(spark, sf):
     )
 
 
+#: Tasks that the line items are read by at least; the given table is one file.
+SCAN_TASKS = 16
+
+
 def extract(spark, sf, lines=None):
     """Line items as a portal would publish them: every column is text. ``lines`` may be a
     stream of line items."""
-    lines = table(spark, sf, "lineitem") if lines is None else lines
+    lines = spread(table(spark, sf, "lineitem"), SCAN_TASKS) if lines is None else lines
     line = F.col("l_linenumber")
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     commas = F.format_number(price, 2)
