@@ -74,3 +74,49 @@ def test_operators_agree_with_their_stages():
         "packing",
     ]
     assert all(m.__doc__ and "Defined results" in m.__doc__ for m in (quality, simhash, pii, mixing))
+
+
+def _brute(texts):
+    """Least position of each group by the rule itself."""
+    words = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def _edited(text, places):
+    words = text.split(" ")
+    for p in places:
+        words[p] = f"edited{p}"
+    return " ".join(words)
+
+
+def test_near_copies_go(spark, documents, prose):
+    base = [" ".join(prose(i, 120).split()) for i in range(12)]
+    texts = list(base)
+    for i, text in enumerate(base):
+        texts.append(_edited(text, [10 + i]))  # 0.92
+        texts.append(_edited(text, [30 + i, 90]))  # 0.84
+        texts.append(_edited(text, [30, 50 + i, 90]))  # 0.77
+        texts.append(_edited(text, [30 + i, 90, 60, 70]))  # 0.83 from the second of these
+    texts += [t + " " + base[0] for t in base[1:4]]  # a long passage in common
+    want = _brute(texts)
+    assert len(set(want)) < len(texts) - 24
+    docs = documents([(i, t, "en", "s") for i, t in enumerate(texts)])
+    kept = corpus_pipeline.deduplicate(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(want))
+
+
+def test_near_copies_without_ids_or_with_one_id(spark, documents, prose):
+    one, two = (" ".join(prose(i, 120).split()) for i in (1, 2))
+    near = _edited(one, [40])
+    docs = documents([(None, one, "en", "s"), (None, near, "en", "s"), (7, two, "en", "s"), (7, one + " more", "fr", "s")])
+    kept = corpus_pipeline.deduplicate(spark, docs, "").collect()
+    assert sorted(((r["doc_id"], r["lang"]) for r in kept), key=str) == [(7, "en"), (7, "fr")]
+    unnamed = corpus_pipeline.deduplicate(spark, docs.where("doc_id is null"), "").collect()
+    assert [r["doc_id"] for r in unnamed] == [None]
