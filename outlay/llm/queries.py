@@ -12,6 +12,7 @@ from outlay.llm import (
     licenses,
     mixing,
     packing,
+    periodic,
     pii,
     quality,
     secrets,
@@ -93,6 +94,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.collapsed(periodic.repeated(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_extraction": op1_extraction,
@@ -105,6 +110,7 @@ def queries() -> dict[str, Query]:
         "op8_forest": op8_forest,
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
+        "op11_periodic": op11_periodic,
     }
 
 
