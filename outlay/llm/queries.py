@@ -10,6 +10,7 @@ from outlay.llm import (
     extraction,
     forest,
     licenses,
+    linestore,
     mixing,
     packing,
     periodic,
@@ -98,6 +99,11 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.collapsed(periodic.repeated(table(spark, sf_dir, "documents"))))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linestore.without_common_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_extraction": op1_extraction,
@@ -111,8 +117,13 @@ def queries() -> dict[str, Query]:
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
         "op11_periodic": op11_periodic,
+        "op12_line_dedup": op12_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": licenses.oracle_sql(), "op9_mixing": mixing.ORACLE_SQL}
+    return {
+        "op3_licenses": licenses.oracle_sql(),
+        "op9_mixing": mixing.ORACLE_SQL,
+        "op12_line_dedup": linestore.ORACLE_SQL,
+    }

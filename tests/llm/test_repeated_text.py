@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from outlay.llm import periodic
+from outlay.llm import linestore, periodic
 from outlay.llm import queries as llm_queries
 from outlay.llm.base import coded_words
 
@@ -112,3 +115,68 @@ def test_op11_is_the_plain_version(spark, documents, prose, tmp_path):
 def test_runs_of_messy_and_empty_tables(messy, empty):
     assert periodic.digests(periodic.collapsed(messy)).count() == messy.count()
     assert periodic.digests(periodic.collapsed(periodic.repeated(empty))).count() == 0
+
+
+# Line dedup
+
+
+def plain_op12(rows, least=10):
+    keyed = []
+    for doc_id, text in rows:
+        lines = (text or "").split("\n")
+        keys = [re.sub(r"[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r")) for line in lines]
+        keyed.append((doc_id, lines, keys))
+    held = Counter(k for _, _, keys in keyed for k in set(keys) if k)
+    out = []
+    for doc_id, lines, keys in keyed:
+        kept = [line for line, k in zip(lines, keys) if held[k] < least]
+        out.append((doc_id, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+def _lined(seed, n):
+    pick = random.Random(seed)
+    known = ["", " ", "Accept Cookies", "\taccept cookies ", "É", "é", "a\x0bb", "\x0bx\x0c", "x\x85", "x", " x"]
+    known += [f"line {i}" for i in range(12)]
+    return [(i, "\n".join(pick.choices(known, k=pick.randint(0, 6)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("batches, fanout, heavy", [(1, 2, 20_000), (5, 2, 20_000), (7, 3, 1), (4, 4, 20)])
+def test_lines_of_many_documents_go(spark, documents, monkeypatch, batches, fanout, heavy):
+    monkeypatch.setattr(linestore, "HEAVY", heavy)
+    rows = _lined(batches, 90) + [(500, None), (501, ""), (None, "x\nline 1"), (7, "line 2"), (7, "line 2")]
+    docs = documents([(i, t, "en", "s") for i, t in rows])
+    got = linestore.without_common_lines(docs, batches=batches, fanout=fanout)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == plain_op12(rows)
+
+
+def test_runs_are_levelled_and_merged(spark):
+    with linestore.LineRuns(spark, least=10, fanout=2) as runs:
+        for i in range(7):
+            batch = [(k, 0, 4) for k in range(i, i + 3)] + [(100, 0, 1)]
+            runs.add(spark.createDataFrame(batch, "high long, low long, docs long").repartition(4, "high", "low"))
+        assert [len(level) for level in runs.levels] == [1, 1, 1]
+        counts = {r["high"]: r["docs"] for r in runs._merged(runs.runs()).collect()}
+        assert counts == {0: 4, 1: 8, 8: 4, 7: 8, 100: 7} | dict.fromkeys(range(2, 7), 12)
+        assert {r["high"] for r in runs.common().collect()} == set(range(2, 7))
+        paths = list(runs._tables.values())
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+
+
+def test_stored_runs_are_not_shuffled(spark):
+    with linestore.LineRuns(spark, fanout=9) as runs:
+        for i in range(2):
+            rows = spark.range(100).select((F.col("id") + i).alias("high"), (7 * (F.col("id") + i)).alias("low"))
+            runs.add(rows.groupBy("high", "low").agg(F.count(F.lit(1)).alias("docs")))
+        batch = spark.range(200).select(F.col("id").alias("high"), (7 * F.col("id")).alias("low"))
+        batch = batch.groupBy("high", "low").agg(F.count(F.lit(1)).alias("docs"))
+        for name in runs.runs():
+            batch = batch.join(spark.table(name).hint("merge"), ["high", "low"], "left_anti")
+        plan = batch._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 2
+        assert batch.count() == 99
+
+
+def test_lines_of_messy_and_empty_tables(messy, empty):
+    assert linestore.without_common_lines(messy).count() == messy.count()
+    assert linestore.without_common_lines(empty).count() == 0
