@@ -16,6 +16,7 @@ from outlay.llm import (
     periodic,
     pii,
     quality,
+    ranked,
     secrets,
     simhash,
     toxicity,
@@ -104,6 +105,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_extraction": op1_extraction,
@@ -118,6 +123,7 @@ def queries() -> dict[str, Query]:
         "op10_quality": op10_quality,
         "op11_periodic": op11_periodic,
         "op12_line_dedup": op12_line_dedup,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
@@ -126,4 +132,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_licenses": licenses.oracle_sql(),
         "op9_mixing": mixing.ORACLE_SQL,
         "op12_line_dedup": linestore.ORACLE_SQL,
+        "op13_ranked_search": ranked.ORACLE_SQL,
     }
