@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import corpus_pipeline
-from outlay.llm import mixing, pii, quality, simhash
+from outlay.llm import jaccard, mixing, pii, quality, simhash
 
 
 @pytest.fixture(scope="module")
@@ -120,3 +124,26 @@ def test_near_copies_without_ids_or_with_one_id(spark, documents, prose):
     assert sorted(((r["doc_id"], r["lang"]) for r in kept), key=str) == [(7, "en"), (7, "fr")]
     unnamed = corpus_pipeline.deduplicate(spark, docs.where("doc_id is null"), "").collect()
     assert [r["doc_id"] for r in unnamed] == [None]
+
+
+def test_texts_of_one_mould_give_few_pairs(spark, documents, prose, monkeypatch):
+    """Texts that each change other words of one text meet in many files and are hardly ever
+    links: the pairs that need whole sets must not grow with the square of their number."""
+    mould, tested = " ".join(prose(5, 150, 2000).split()), []
+    linked = jaccard.linked
+    monkeypatch.setattr(jaccard, "CELL", 40)
+    monkeypatch.setattr(jaccard, "linked", lambda p, *a: tested.append(p.count()) or linked(p, *a))
+    pick = random.Random(3)
+    texts = [_edited(mould, pick.sample(range(len(mould.split())), 4)) for _ in range(160)]
+    texts = [t.replace("edited", f"own{i}x") for i, t in enumerate(texts)]
+    docs = documents([(i, t, "en", "s") for i, t in enumerate(texts)])
+    kept = corpus_pipeline.deduplicate(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(_brute(texts)))
+    assert sum(tested) < 3 * len(texts)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60))
+def test_sketches_differ_less_than_their_sets(a, b):
+    one, other = (jaccard.sketch(np.array(sorted(s), np.uint64)) for s in (a, b))
+    assert sum(int(x).bit_count() for x in (one ^ other).view(np.uint64)) <= len(a ^ b)
