@@ -33,17 +33,19 @@ def text_or_empty(column: str = "text") -> Column:
 SLICE_BYTES = 16_000_000
 
 
-def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+def in_batches(
+    df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, size: int = SLICE_BYTES
+) -> DataFrame:
     """Apply ``work`` to Arrow batches; it gives columns by name (lists or arrays).
 
-    A batch is handled in slices of about ``SLICE_BYTES``, so that a worker holds that much
+    A batch is handled in slices of about ``size`` bytes, so that a worker holds that much
     text at a time. A single longer text is a slice of its own.
     """
     fields = _arrow_schema(schema)
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            for part in _slices(batch):
+            for part in _slices(batch, size):
                 out = work(part)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type) for f in fields], schema=fields
@@ -52,9 +54,9 @@ def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: st
     return df.mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch) -> Batches:
+def _slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Batches:
     n = batch.num_rows
-    step = max(1, n * SLICE_BYTES // max(batch.nbytes, 1))
+    step = max(1, n * size // max(batch.nbytes, 1))
     for start in range(0, n, step):
         yield batch.slice(start, step)
 
