@@ -270,6 +270,52 @@ def candidate_pairs(
     upper = placed.withColumn("j", F.col("slot")).withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.col("slot")))
     )
+    same_cell = (
+        (F.col("a.signature") == F.col("b.signature"))
+        & (F.col("a.i") == F.col("b.i"))
+        & (F.col("a.j") == F.col("b.j"))
+    )
+    once = (F.col("a.i") < F.col("a.j")) | (F.col("a.norm") < F.col("b.norm"))
+    return _reaching(lower, upper, same_cell & once & (F.col("a.norm") != F.col("b.norm")), t)
+
+
+def candidates_of(
+    changed: DataFrame, clusters: DataFrame, t: Thresholds = Thresholds(), hot: int = HOT_SIGNATURE
+) -> DataFrame:
+    """The candidate pairs of ``clusters`` that have a cluster of ``changed``, which are among
+    them. Only blocks of changed clusters are looked at.
+
+    A hot signature becomes a grid here too: changed clusters fall into its rows, all
+    clusters into its columns, and each is copied to the cells of its row or column.
+    """
+    own = signatures_of(changed, t)
+    met = _needed_blocks(changed).select("block").distinct()
+    near = _needed_blocks(clusters).join(met, "block", "left_semi").select("norm").distinct()
+    others = signatures_of(clusters.join(near, "norm", "left_semi"), t)
+    others = others.join(changed.select("norm", F.lit(True).alias("also")), "norm", "left")
+    sizes = [
+        rows.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias(side))
+        for rows, side in ((own, "own_sides"), (others, "other_sides"))
+    ]
+    sides = sizes[0].join(sizes[1], "signature").where("own_sides > 1 or other_sides > 1")
+    placed = []
+    for rows, mine, across in ((own, "own_sides", "other_sides"), (others, "other_sides", "own_sides")):
+        rows = rows.join(sides, "signature", "left").withColumn(
+            "slot", F.pmod(F.xxhash64("norm"), F.coalesce(mine, F.lit(1))).cast("int")
+        )
+        cells = F.sequence(F.lit(0), F.coalesce(across, F.lit(1)) - 1)
+        placed.append(rows.withColumn("cell", F.explode(cells)))
+    same_cell = (
+        (F.col("a.signature") == F.col("b.signature"))
+        & (F.col("a.slot") == F.col("b.cell"))
+        & (F.col("a.cell") == F.col("b.slot"))
+    )
+    once = F.col("b.also").isNull() | (F.col("a.norm") < F.col("b.norm"))
+    return _reaching(*placed, same_cell & once & (F.col("a.norm") != F.col("b.norm")), t)
+
+
+def _reaching(left: DataFrame, right: DataFrame, met: Column, t: Thresholds) -> DataFrame:
+    """Pairs of rows that meet and can reach the review score: ``a < b``, ratio and boost."""
     boost = (
         F.when(_equal("zip"), ZIP_BOOST).otherwise(0.0)
         + F.when(_equal("state"), STATE_BOOST).otherwise(0.0)
@@ -278,26 +324,17 @@ def candidate_pairs(
     longest = F.greatest(F.length("a.sorted"), F.length("b.sorted"))
     shortest = F.least(F.length("a.sorted"), F.length("b.sorted"))
     allowed = F.floor((2 - 2 * (F.lit(t.review) - boost)) * longest + 1e-6).cast("int")
-    same_cell = (
-        (F.col("a.signature") == F.col("b.signature"))
-        & (F.col("a.i") == F.col("b.i"))
-        & (F.col("a.j") == F.col("b.j"))
-    )
-    once = (F.col("a.i") < F.col("a.j")) | (F.col("a.norm") < F.col("b.norm"))
     no_conflict = F.coalesce(F.col("a.state") == F.col("b.state"), F.lit(True))
     # With a bound the distance is only followed within it; beyond it is -1.
     distance = F.call_function("levenshtein", F.col("a.sorted"), F.col("b.sorted"), allowed)
     near = (longest - shortest <= allowed) & (distance >= 0)
-    met = lower.alias("a").join(
-        upper.alias("b"),
-        same_cell & once & (F.col("a.norm") != F.col("b.norm")) & no_conflict & near,
-    )
+    pairs = left.alias("a").join(right.alias("b"), met & no_conflict & near)
     ratio = 1 - distance / longest
     # Jaro is at most (2 + shortest / longest) / 3, which bounds Jaro-Winkler in turn.
     best_jaro = (2 + shortest / longest) / 3
     best = 0.5 * (0.4 + 0.6 * best_jaro) + 0.5 * ratio + boost
     return (
-        met.where(best >= t.review - 1e-9)
+        pairs.where(best >= t.review - 1e-9)
         .select(
             F.least("a.norm", "b.norm").alias("a"),
             F.greatest("a.norm", "b.norm").alias("b"),
@@ -392,6 +429,15 @@ def assemble(
     The confidence of a vendor is its weakest merge edge, one when there is none.
     Spellings stay a long table: a vendor may have any number of them.
     """
+    attributes, summed = component_attributes(counts, labelled, edges)
+    return vendor_tables(attributes, summed, labelled)
+
+
+def component_attributes(
+    counts: DataFrame, labelled: DataFrame, edges: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """A row per component with all a vendor shows, and the summed counts of its values. The
+    vendor id is the one the component gets if it has none yet."""
     member = labelled.select("norm", "component")
     summed = (
         counts.join(member, "norm")
@@ -422,6 +468,13 @@ def assemble(
         .withColumn("canonical_name", F.coalesce("canonical_name", F.lit(UNKNOWN_VENDOR)))
         .withColumn("vendor_id", F.concat_ws("-", slug(F.col("normalized_name")), "_print"))
     )
+    return attributes, summed
+
+
+def vendor_tables(
+    attributes: DataFrame, summed: DataFrame, labelled: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vendors, spellings and assignment, with the vendor ids that ``attributes`` has."""
     ids = attributes.select("component", "vendor_id")
     vendors = attributes.select(
         "vendor_id",
@@ -440,7 +493,7 @@ def assemble(
         .join(ids, "component")
         .select("vendor_id", F.col("value").alias("variant"), F.col("n").alias("mentions"))
     )
-    assignment = member.join(ids, "component").select(
+    assignment = labelled.select("norm", "component").join(ids, "component").select(
         F.col("norm").alias("vendor_name_normalized"), "vendor_id"
     )
     return vendors, variants, assignment

@@ -160,6 +160,34 @@ WATCHES = _struct(
     ordinal=_L,
 )
 
+RESOLUTION_COUNTS = _struct(norm=_S, field=_S, value=_S, n=_L, bucket=T.IntegerType())
+
+RESOLUTION_CLUSTERS = _struct(
+    norm=_S,
+    mentions=_L,
+    city=_S,
+    state=_S,
+    zip=_S,
+    component=_S,
+    vendor_id=_S,
+    bucket=T.IntegerType(),
+)
+
+RESOLUTION_PAIRS = _struct(
+    a=_S,
+    b=_S,
+    token_sort_ratio=T.DoubleType(),
+    boost=T.DoubleType(),
+    jaro_winkler=T.DoubleType(),
+    name_similarity=T.DoubleType(),
+    score=T.DoubleType(),
+    bucket=T.IntegerType(),
+)
+
+RESOLUTION_FOUNDERS = _struct(vendor_id=_S, founder=_S, run=_L, bucket=T.IntegerType())
+
+VENDOR_LINEAGE = _struct(run=_L, old_id=_S, new_id=_S, change=_S)
+
 TABLES = {
     "transactions": TRANSACTIONS,
     "budgets": BUDGETS,
@@ -173,4 +201,9 @@ TABLES = {
     "rejects": REJECTS,
     "alerts": ALERTS,
     "alert_runs": ALERT_RUNS,
+    "resolution_counts": RESOLUTION_COUNTS,
+    "resolution_clusters": RESOLUTION_CLUSTERS,
+    "resolution_pairs": RESOLUTION_PAIRS,
+    "resolution_founders": RESOLUTION_FOUNDERS,
+    "vendor_lineage": VENDOR_LINEAGE,
 }
