@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outlay.operators import resolve
@@ -42,7 +42,7 @@ STATE = {
     "resolution_counts": "norm",
     "resolution_clusters": "norm",
     "resolution_pairs": "a",
-    "resolution_founders": "founder",
+    "resolution_founders": "vendor_id",
 }
 PLACE = ("city", "state", "zip")
 
@@ -86,18 +86,11 @@ def empty_state(spark: SparkSession) -> State:
 
 def signed_counts(added: DataFrame, removed: DataFrame | None) -> DataFrame:
     """Counts of the values of a batch; what is removed counts below zero."""
-    counts = resolve.value_counts(added)
+    columns = ["name_raw", "norm", *PLACE]
+    rows = added.select(*columns, F.lit(1).alias("sign"))
     if removed is not None:
-        counts = counts.unionByName(resolve.value_counts(removed).withColumn("n", -F.col("n")))
-    return counts.groupBy("norm", "field", "value").agg(F.sum("n").alias("n"))
-
-
-def _moved(old: str, new: str) -> Column:
-    """Whether the place of a cluster differs between two versions."""
-    same = F.lit(True)
-    for c in PLACE:
-        same = same & F.col(f"{old}.{c}").eqNullSafe(F.col(f"{new}.{c}"))
-    return ~same
+        rows = rows.unionByName(removed.select(*columns, F.lit(-1).alias("sign")))
+    return resolve.value_counts(rows, F.sum("sign"))
 
 
 def advance(
@@ -111,14 +104,21 @@ def advance(
     batch = cut(signed_counts(added, removed))
     touched = batch.select("norm").distinct()
     known = state.counts.join(touched, "norm", "left_semi")
-    counts = known.unionByName(batch).groupBy("norm", "field", "value").agg(F.sum("n").alias("n"))
+    # The filter also keeps constraints of the checkpointed plan on foreign columns out of the union,
+    # on which Spark 4.1 fails.
+    delta = batch.where("n <> 0")
+    counts = known.unionByName(delta).groupBy("norm", "field", "value").agg(F.sum("n").alias("n"))
     counts = cut(counts.where("n > 0"))
     fresh = cut(resolve.clusters_of(counts))
 
-    both = state.clusters.join(touched, "norm", "left_semi").alias("old").join(fresh.alias("new"), "norm", "full")
-    gone = F.col("new.mentions").isNull()
-    changed = both.where(gone | F.col("old.mentions").isNull() | _moved("old", "new"))
-    changed = cut(changed.select("norm", gone.alias("gone")))
+    old = state.clusters.join(touched, "norm", "left_semi")
+    old = old.select(*[F.col(c).alias(f"old_{c}") for c in ("norm", "mentions", *PLACE)])
+    both = fresh.join(old, F.col("norm") == F.col("old_norm"), "full")
+    gone = F.col("mentions").isNull()
+    moved = [~F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in PLACE]
+    changed = both.where(gone | F.col("old_mentions").isNull() | moved[0] | moved[1] | moved[2])
+    changed = changed.select(F.coalesce("norm", "old_norm").alias("norm"), gone.alias("gone"))
+    changed = cut(changed)
     alive = changed.where("not gone").select("norm")
 
     kept = state.clusters.join(touched, "norm", "left_anti").select("norm", "mentions", *PLACE)

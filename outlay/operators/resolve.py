@@ -90,8 +90,9 @@ def mentions_of(txns: DataFrame) -> DataFrame:
     )
 
 
-def value_counts(mentions: DataFrame) -> DataFrame:
-    """Long table ``(norm, field, value, n)`` of every named cluster.
+def value_counts(mentions: DataFrame, number: Column | None = None) -> DataFrame:
+    """Long table ``(norm, field, value, n)`` of every named cluster; ``number`` says how many
+    mentions a group of rows is, one each by default.
 
     Equal mentions are counted first, so a payee with a third of all payments is a few
     rows before its values are spread out. Field ``mentions`` counts the cluster itself.
@@ -104,7 +105,7 @@ def value_counts(mentions: DataFrame) -> DataFrame:
     equal = (
         mentions.where(F.coalesce("norm", F.lit("")) != "")
         .groupBy("norm", name.alias("name"), "city", "state", "zip")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg((F.count(F.lit(1)) if number is None else number).alias("n"))
     )
     fields = [F.struct(F.lit("mentions").alias("field"), F.col("norm").alias("value"))] + [
         F.struct(F.lit(f).alias("field"), strip(F.col(f)).alias("value"))

@@ -1,25 +1,37 @@
-"""Stored tables: plain Parquet, partitioned, written through Spark's own overwrite modes.
-
-An upsert reads and rewrites only the partitions it touches. The batch is staged in the
-shared folder, merged with the stored rows of those partitions, and written once: Spark
-writes the new files beside the old ones and switches partitions when all tasks are done.
+"""Stored tables: partitioned Parquet in versions, each of which is whole.
+
+A write never changes files that are there. It puts new files beside them, in a folder of its
+own below each partition, and then adds a manifest: the next version of the table, which names
+the folders that belong to each partition. Readers follow the newest manifest, so they see a
+table before a write or after it, and a table read earlier stays as it was. A writer that dies
+leaves files that no manifest names. Two writers can't add the same version: the second checks
+whether the first changed what it read, and then either goes on from there or fails with
+``Conflict``. ``vacuum`` removes old versions and what dead writers left.
+
+An upsert reads and rewrites only the partitions it touches. The batch is staged in the shared
+folder and joined once with the stored rows of those partitions, which gives the rows to write
+and the counts of new and replaced ones.
 """
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from outlay.operators.common import ranked
+from outlay.operators.incremental import STATE, State, Step
 from outlay.schema import TABLES
-from outlay.session import scratch_path
+from outlay.session import discard, scratch_path
 
 #: Folder name of a null partition value.
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
@@ -31,6 +43,25 @@ BUDGET_KEY = ("jurisdiction_id", "fiscal_year", "department", "category")
 CONTRACT_KEY = ("jurisdiction_id", "vendor_name_normalized", "amount", "term_start")
 
 
+#: The folder below a partition that one write fills, and the folders of manifests and of files
+#: that are being written.
+WRITE, VERSIONS, STAGED = "write", "_versions", "_staged"
+#: Seconds after which files that no version names are taken to be a dead writer's.
+DEAD_AFTER = 7 * 24 * 3600.0
+
+
+class Conflict(RuntimeError):
+    """Another writer changed what this write is based on; nothing was written."""
+
+
+@dataclass(frozen=True)
+class Version:
+    """A version of a table: for every partition folder the writes that fill it."""
+
+    number: int
+    folders: dict[str, list[str]]
+
+
 @dataclass(frozen=True)
 class Counts:
     """Rows an upsert added and rows it replaced."""
@@ -93,36 +124,161 @@ class Store:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _names(self, path: str) -> list[str]:
+        """Names in a folder, none if it isn't there."""
+        target, fs = self._folder(path)
+        return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+
+    def versions(self, table: str) -> list[int]:
+        """The versions of a table that are kept, oldest first."""
+        names = self._names(f"{self.path(table)}/{VERSIONS}")
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
     def exists(self, table: str) -> bool:
         target, fs = self._folder(self.path(table))
-        return bool(fs.exists(target))
+        return bool(self.versions(table)) or bool(fs.exists(target))
+
+    def version(self, table: str, number: int | None = None) -> Version:
+        """A version of a table, the newest by default; version 0 is an empty table."""
+        if number is None:
+            number = max(self.versions(table), default=0)
+        if number == 0:
+            return Version(0, {})
+        target, fs = self._folder(f"{self.path(table)}/{VERSIONS}/{number:012d}.json")
+        stream = fs.open(target)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return Version(number, json.loads(text))
 
-    def read(self, table: str) -> DataFrame:
-        """A stored table; one that was never written is empty."""
+    def read(self, table: str, version: Version | None = None) -> DataFrame:
+        """A version of a stored table, the newest by default; one that was never written is
+        empty. Folders that streams write themselves have no versions and are read whole."""
         schema: T.StructType = TABLES[table]
-        if not self.exists(table):
+        if version is None:
+            version = self.version(table)
+            if version.number == 0 and self._names(self.path(table)):
+                plain = [n for n in self._names(self.path(table)) if not n.startswith("_")]
+                if plain and not any(n.startswith(f"{WRITE}=") for n in plain):
+                    return self.spark.read.schema(schema).parquet(self.path(table))
+        paths = [
+            "/".join([self.path(table), *([folder] if folder else []), f"{WRITE}={write}"])
+            for folder, writes in sorted(version.folders.items())
+            for write in writes
+        ]
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(table))
-
-    def _write(self, df: DataFrame, table: str, partition: list[str], mode: str) -> None:
-        fitted = df.select(
+        reader = self.spark.read.schema(T.StructType([*schema.fields, T.StructField(WRITE, T.StringType())]))
+        return reader.option("basePath", self.path(table)).parquet(*paths).drop(WRITE)
+
+    def _put(self, df: DataFrame, table: str, partition: list[str]) -> tuple[str, list[str], dict[str, int]]:
+        """Write rows beside what is stored; gives the name of the write, the partition folders it
+        fills, and how many rows have each value of the column ``_mark``, if there is one."""
+        marked = df if "_mark" in df.columns else df.withColumn("_mark", F.lit(None).cast("string"))
+        fitted = marked.select(
             *[
                 (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                 for f in TABLES[table].fields
-            ]
+            ],
+            "_mark",
         )
         # Rebalancing keeps the files of a partition together and splits a hot partition
-        # over several tasks.
+        # over several tasks. Marks are counted behind it, in the tasks that write: those of a
+        # lost executor are counted once, which earlier stages don't assure.
         writer = fitted.hint("rebalance", *partition) if partition else fitted
-        (
-            writer.write.mode(mode)
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*partition)
-            .parquet(self.path(table))
-        )
+        counted = Observation()
+        marks = [F.count_if(F.col("_mark") == m).alias(m) for m in ("inserted", "updated")]
+        write = uuid.uuid4().hex
+        staged = f"{self.path(table)}/{STAGED}/{write}"
+        writer.observe(counted, *marks).drop("_mark").write.partitionBy(*partition).parquet(staged)
+        folders = [""]
+        for _ in partition:
+            folders = [
+                f"{above}/{name}" if above else name
+                for above in folders
+                for name in self._names(f"{staged}/{above}" if above else staged)
+                if not name.startswith("_")
+            ]
+        for folder in folders:
+            source, fs = self._folder(f"{staged}/{folder}" if folder else staged)
+            place = "/".join(x for x in (self.path(table), folder) if x)
+            fs.mkdirs(self._folder(place)[0])
+            if not fs.rename(source, self._folder(f"{place}/{WRITE}={write}")[0]):
+                raise OSError(f"could not move {source} into {place}")
+        if partition:
+            discard(self.spark, staged)
+        return write, folders, counted.get
+
+    def _commit(
+        self, table: str, base: Version, write: str, filled: list[str], cleared: list[str], read: list[str] | None
+    ) -> None:
+        """Add the next version: the newest one without the folders ``cleared`` and with the new
+        write in those ``filled``. ``read`` are the folders the write is based on (none: the whole
+        table, empty: nothing); if another writer changed one of them since ``base``, it fails."""
+        folder = f"{self.path(table)}/{VERSIONS}"
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        while True:
+            now = self.version(table)
+            watched = set(now.folders) | set(base.folders) if read is None else set(read)
+            if any(now.folders.get(f) != base.folders.get(f) for f in watched):
+                raise Conflict(f"{table} changed from version {base.number} to {now.number}")
+            folders = {f: w for f, w in now.folders.items() if f not in cleared}
+            for f in filled:
+                folders[f] = [*folders.get(f, []), write]
+            draft, fs = self._folder(f"{folder}/.{write}")
+            target, _ = self._folder(f"{folder}/{now.number + 1:012d}.json")
+            fs.mkdirs(draft.getParent())
+            stream = fs.create(draft, True)
+            stream.write(bytearray(json.dumps(folders, sort_keys=True).encode()))
+            stream.close()
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+                draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()
+            )
+            plain = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+            try:
+                # Fails if the version is there already, so one writer only gets it.
+                context.rename(context.makeQualified(draft), context.makeQualified(target), plain)
+                return
+            except Py4JJavaError as problem:
+                if "FileAlreadyExists" not in problem.java_exception.getClass().getName():
+                    raise
 
     def append(self, df: DataFrame, table: str, partition: list[str] | None = None) -> None:
-        self._write(df, table, partition or [], "append")
+        base = self.version(table)
+        write, filled, _ = self._put(df, table, partition or [])
+        self._commit(table, base, write, filled, [], [])
+
+    def vacuum(self, table: str, keep: int = 2, dead_after: float = DEAD_AFTER) -> int:
+        """Keep the newest versions only; gives the number of folders removed. Folders of older
+        versions go, and those no version names once they are ``dead_after`` seconds old."""
+        numbers = self.versions(table)
+        old = {self._key(f, w) for n in numbers[:-keep] for f, ws in self.version(table, n).folders.items() for w in ws}
+        used = {self._key(f, w) for n in numbers[-keep:] for f, ws in self.version(table, n).folders.items() for w in ws}
+        for n in numbers[:-keep]:
+            discard(self.spark, f"{self.path(table)}/{VERSIONS}/{n:012d}.json")
+        removed = 0
+        for path, changed in self._writes(self.path(table), ""):
+            dead = path not in used and time.time() - changed > dead_after
+            if path in old - used or dead:
+                discard(self.spark, f"{self.path(table)}/{path}")
+                removed += 1
+        return removed
+
+    @staticmethod
+    def _key(folder: str, write: str) -> str:
+        return f"{folder}/{WRITE}={write}" if folder else f"{WRITE}={write}"
+
+    def _writes(self, root: str, below: str) -> Iterator[tuple[str, float]]:
+        """Folders of single writes below a table, and when they were changed (seconds)."""
+        target, fs = self._folder(f"{root}/{below}" if below else root)
+        for status in fs.listStatus(target) if fs.exists(target) else []:
+            name = status.getPath().getName()
+            path = f"{below}/{name}" if below else name
+            if name.startswith(f"{WRITE}=") or below == STAGED:
+                yield path, status.getModificationTime() / 1000
+            elif status.isDirectory() and name != VERSIONS:
+                yield from self._writes(root, path)
 
     def upsert(
         self,
@@ -140,17 +296,35 @@ class Store:
         looked through as well; tables whose keys contain the partition need not do that.
         """
         unique = last_wins(batch, key, order if order is not None else any_order(batch))
+        base = self.version(table)
         with self._staged(unique) as unique:
             touched = self._values(unique, partition)
-            stored = self.read(table)
+            stored = self.read(table, base)
             if moves:
                 elsewhere = stored.where(~self._within(partition, touched))
                 found = elsewhere.join(unique.select(*key), key, "left_semi")
                 touched += self._values(found, partition)
             inside = stored.where(self._within(partition, touched))
-            counts = upsert_counts(unique, inside, key).first()
-            self._replace(merged(unique, inside, key), table, partition, touched)
-        return Counts(counts["inserted"], counts["updated"])
+            rows = self._marked(unique, inside, key)
+            return self._replace(rows, table, partition, touched, base, whole=moves)
+
+    @staticmethod
+    def _marked(batch: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
+        """Batch rows, and stored rows without a newer version, from one join; ``_mark`` says
+        which rows are ``inserted`` or ``updated``."""
+        columns = list(dict.fromkeys([*stored.columns, *batch.columns]))
+        rest = [c for c in columns if c not in key]
+
+        def packed(df: DataFrame, name: str) -> DataFrame:
+            own = [F.col(c) if c in df.columns else F.lit(None).alias(c) for c in rest]
+            return df.select(*key, F.struct(*own, F.lit(True).alias("_")).alias(name))
+
+        types = {f.name: f.dataType for df in (batch, stored) for f in df.schema.fields}
+        both = packed(stored, "_old").join(packed(batch, "_new"), key, "full")
+        new = F.col("_new").isNotNull()
+        values = [F.when(new, F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}").cast(types[c])).alias(c) for c in rest]
+        mark = F.when(new & F.col("_old").isNull(), "inserted").when(new, "updated").alias("_mark")
+        return both.select(*key, *values, mark)
 
     @staticmethod
     def _values(df: DataFrame, partition: str) -> list:
@@ -178,32 +352,26 @@ class Store:
             target, fs = self._folder(path)
             fs.delete(target, True)
 
-    def _replace(self, df: DataFrame, table: str, partition: str, touched: list) -> None:
-        """Write the rows of the touched partitions. Those that get none keep their old
-        folder, which Spark does not overwrite, so they are removed."""
-        if self.exists(table):
-            left = set(self._values(df, partition))
-            emptied = [v for v in touched if v not in left]
-        else:
-            emptied = []
-        self._write(df, table, [partition], "overwrite")
-        if emptied:
-            names = {NULL_PARTITION if v is None else str(v) for v in emptied}
-            target, fs = self._folder(self.path(table))
-            for status in fs.listStatus(target):
-                name, _, value = status.getPath().getName().partition("=")
-                if name == partition and unquote(value) in names:
-                    fs.delete(status.getPath(), True)
-        self.spark.catalog.refreshByPath(self.path(table))
+    def _replace(
+        self, df: DataFrame, table: str, partition: str, touched: list, base: Version, whole: bool = False
+    ) -> Counts:
+        """A version in which the touched partitions hold the rows of ``df`` and nothing else. It is
+        based on these partitions of ``base``, or on the ``whole`` table."""
+        write, filled, marks = self._put(df, table, [partition])
+        values = {NULL_PARTITION if v is None else str(v) for v in touched}
+        cleared = [f for f in base.folders if unquote(f.partition("=")[2]) in values]
+        self._commit(table, base, write, filled, [*cleared, *filled], None if whole else [*cleared, *filled])
+        return Counts(marks["inserted"], marks["updated"])
 
     def replace_jurisdiction(
         self, df: DataFrame, table: str, jurisdictions: list[str] | None = None
     ) -> None:
         """Replace everything stored for the named jurisdictions, those of ``df`` by default.
         One that ``df`` has no rows for is cleared."""
+        base = self.version(table)
         with self._staged(df) as rows:
             own = self._values(rows, "jurisdiction_id")
-            self._replace(rows, table, "jurisdiction_id", own if jurisdictions is None else jurisdictions)
+            self._replace(rows, table, "jurisdiction_id", own if jurisdictions is None else jurisdictions, base)
 
     def insert_absent(
         self,
@@ -215,16 +383,16 @@ class Store:
     ) -> int:
         """Append rows whose key is not stored; returns how many. Stored keys are looked up
         among the batch's values of the columns ``alike``, in which equal keys must agree."""
+        base = self.version(table)
         with self._staged(last_wins(df, key, any_order(df))) as batch:
-            stored = self.read(table)
+            stored = self.read(table, base)
             for column in alike:
                 stored = stored.where(self._within(column, self._values(batch, column)))
-            with self._staged(batch.join(stored.select(*key), key, "left_anti")) as fresh:
-                n = fresh.count()
-                if n:
-                    self.append(fresh, table, partition)
-        self.spark.catalog.refreshByPath(self.path(table))
-        return n
+            fresh = batch.join(stored.select(*key), key, "left_anti").withColumn("_mark", F.lit("inserted"))
+            write, filled, marks = self._put(fresh, table, partition)
+            if marks["inserted"]:
+                self._commit(table, base, write, filled, [], None)
+        return marks["inserted"]
 
     def save_transactions(
         self, batch: DataFrame, order: Column | None = None, moves: bool = True
@@ -247,25 +415,60 @@ class Store:
             ["_key"],
             order if order is not None else any_order(batch),
         )
+        base = self.version(table)
         with self._staged(keyed) as keyed:
             touched = self._values(keyed, "jurisdiction_id")
-            stored = self.read(table).where(self._within("jurisdiction_id", touched))
-            stored = stored.withColumn("_key", business_key(columns))
-            counts = upsert_counts(keyed, stored, ["_key"]).first()
-            rows = merged(keyed, stored, ["_key"]).drop("_key")
-            self._replace(rows, table, "jurisdiction_id", touched)
-        return Counts(counts["inserted"], counts["updated"])
-
-    def save_vendors(self, vendors: DataFrame, variants: DataFrame) -> None:
-        """Replace the attributes and spellings of the given vendors; others stay. Only the
-        buckets they fall into are read and written."""
-        bucket = F.pmod(F.xxhash64("vendor_id"), F.lit(VENDOR_BUCKETS)).cast("int")
-        with self._staged(vendors.withColumn("bucket", bucket)) as fresh:
-            touched = self._values(fresh, "bucket")
-            for table, rows in (("vendors", fresh), ("vendor_variants", variants.withColumn("bucket", bucket))):
-                stored = self.read(table).where(self._within("bucket", touched))
-                kept = stored.join(fresh.select("vendor_id"), "vendor_id", "left_anti")
-                self._replace(kept.unionByName(rows, allowMissingColumns=True), table, "bucket", touched)
+            stored = self.read(table, base).where(self._within("jurisdiction_id", touched))
+            rows = self._marked(keyed, stored.withColumn("_key", business_key(columns)), ["_key"])
+            return self._replace(rows, table, "jurisdiction_id", touched, base)
+
+    def save_vendors(
+        self, vendors: DataFrame, variants: DataFrame, affected: DataFrame | None = None
+    ) -> None:
+        """Replace the attributes and spellings of the ``affected`` vendor ids, by default those
+        of ``vendors``; others stay."""
+        gone = vendors.select("vendor_id") if affected is None else affected.select("vendor_id")
+        self._swap(vendors, "vendors", "vendor_id", {"vendor_id": gone})
+        self._swap(variants, "vendor_variants", "vendor_id", {"vendor_id": gone})
+
+    def _swap(self, rows: DataFrame, table: str, place: str, gone: dict[str, DataFrame]) -> None:
+        """Put ``rows`` in place of the stored ones whose column is among ``gone``. Only the
+        buckets that hold such rows or get new ones are read in full and written; ``place`` is the
+        column that says which bucket a row is in."""
+        bucket = F.pmod(F.xxhash64(place), F.lit(VENDOR_BUCKETS)).cast("int")
+        base = self.version(table)
+        with self._staged(rows.withColumn("bucket", bucket)) as fresh:
+            stored = self.read(table, base)
+            touched = set(self._values(fresh, "bucket"))
+            for column, values in gone.items():
+                key = values.toDF(column)
+                if column == place:
+                    touched |= set(self._values(key.withColumn("bucket", bucket), "bucket"))
+                else:
+                    touched |= set(self._values(stored.join(key, column, "left_semi"), "bucket"))
+            kept = stored.where(self._within("bucket", sorted(touched)))
+            for column, values in gone.items():
+                kept = kept.join(values.toDF(column), column, "left_anti")
+            after = kept.unionByName(fresh, allowMissingColumns=True)
+            self._replace(after, table, "bucket", sorted(touched), base)
+
+    def resolution_state(self) -> State:
+        """What earlier batches left of entity resolution."""
+        return State(*[self.read(table).drop("bucket") for table in STATE])
+
+    def save_resolution(self, step: Step) -> None:
+        """Store what a step of entity resolution changes, with its vendors and lineage."""
+        founders = step.lost_founders.select("vendor_id").union(step.founders.select("vendor_id"))
+        changes = {
+            "resolution_counts": (step.counts, {"norm": step.touched}),
+            "resolution_clusters": (step.clusters, {"norm": step.rebuilt}),
+            "resolution_pairs": (step.pairs, {"a": step.changed, "b": step.changed}),
+            "resolution_founders": (step.founders, {"vendor_id": founders}),
+        }
+        for table, (rows, gone) in changes.items():
+            self._swap(rows, table, STATE[table], gone)
+        self.save_vendors(step.vendors, step.variants, step.affected)
+        self.append(step.lineage, "vendor_lineage")
 
     def save_events(self, events: DataFrame) -> int:
         """Events that are new, as a batch of their own, by which the alert job finds them."""
