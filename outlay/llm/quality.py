@@ -43,6 +43,8 @@ from outlay.session import cut
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
+#: Bytes of text whose words a task holds at a time.
+SLICE = 4_000_000
 #: Share of texts that an estimate rests on, and the steps taken from the first estimate.
 SHARE = 0.75
 STEPS = 4
@@ -157,7 +159,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         content().alias("content"),
         text_or_empty().alias("text"),
     )
-    return in_batches(texts, work, schema)
+    return in_batches(texts, work, schema, SLICE)
 
 
 def content() -> Column:
