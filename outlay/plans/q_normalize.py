@@ -38,14 +38,14 @@ CONFIG = DatasetConfig(
     source_url_template="https://example.test/tx/{id}?again={id}",
     mapping={
         "source_record_id": "payment_no",
-        "vendor_name": ["vendor_name", "payee"],
+        "vendor_name": ["vendor_name", "paid_to"],
         "vendor_state": "state",
         "vendor_zip": "zip",
         "department": "dept",
         "category": "fund",
-        "account": {"from": "acct", "fallback": "none"},
-        "amount": {"from": "check_amount", "type": "amount"},
-        "transaction_date": "check_date",
+        "account": {"from": "ledger_account", "fallback": "none"},
+        "amount": {"from": "paid_amount", "type": "amount"},
+        "transaction_date": "paid_day",
         "procurement_method": "procurement",
     },
 )
@@ -154,13 +154,13 @@ def extract(spark, sf, lines=None):
     return lines.join(payees(spark, sf), "p_partkey").select(
         F.col("l_orderkey").cast("string").alias("payment_no"),
         F.when(line == 1, "  ").otherwise(F.col("name_raw")).alias("vendor_name"),
-        F.concat(F.lit(" Payee "), F.col("l_suppkey").cast("string")).alias("payee"),
+        F.concat(F.lit(" Payee "), F.col("l_suppkey").cast("string")).alias("paid_to"),
         F.lower("state").alias("state"),
         F.concat("zip", F.lit("-1234")).alias("zip"),
         F.concat(F.col("l_returnflag"), F.lit(" & Rec   Dept.")).alias("dept"),
         F.concat(F.lit("Fund  "), F.col("l_linestatus")).alias("fund"),
-        amount.alias("check_amount"),
-        date.alias("check_date"),
+        amount.alias("paid_amount"),
+        date.alias("paid_day"),
         _choose(line % 6, [text for text, _ in PROCUREMENT_TEXT]).alias("procurement"),
         F.concat_ws("/", "l_linenumber", "p_partkey", "l_suppkey").alias("line"),
     )
@@ -240,7 +240,7 @@ def normalize_transactions(spark, sf):
 @query(
     "normalize_rejects",
     sql(
-        """SELECT 'metro' AS jurisdiction_id, 'no parseable amount in check_amount' AS reason,
+        """SELECT 'metro' AS jurisdiction_id, 'no parseable amount in paid_amount' AS reason,
        source_record_id AS payment_no, line FROM line WHERE amount IS NULL""",
         *_LINE,
     ),
@@ -499,7 +499,7 @@ UNION ALL SELECT 'lines', count(*),
 )
 def union_extracts(spark, sf):
     orders = table(spark, sf, "orders").select(
-        F.lit("orders").alias("source"), F.col("o_totalprice").cast("string").alias("check_amount")
+        F.lit("orders").alias("source"), F.col("o_totalprice").cast("string").alias("paid_amount")
     )
     lines = extract(spark, sf).withColumn("source", F.lit("lines"))
     both = norm.union_extracts([orders, lines])
@@ -510,7 +510,7 @@ def union_extracts(spark, sf):
 
 @query(
     "schema_drift",
-    """SELECT * FROM (VALUES ('department', 'dept|department'), ('amount', 'check_amount'))
+    """SELECT * FROM (VALUES ('department', 'dept|department'), ('amount', 'paid_amount'))
  AS t(field, sources) WHERE (SELECT count(*) FROM orders) > 0""",
 )
 def schema_drift(spark, sf):
@@ -528,7 +528,7 @@ def schema_drift(spark, sf):
             "department": ["dept", "department"],
             "category": ["status", "status_F", "status_O"],
             "fund": {"from": "fund", "fallback": "general"},
-            "amount": "check_amount",
+            "amount": "paid_amount",
         },
     )
     return selection.drifted_fields(orders, config)
