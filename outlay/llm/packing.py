@@ -33,6 +33,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces that one task packs together.
 CELL_PIECES = 32_768
+#: Bytes of text that a task tokenizes at a time.
+SLICE = 4_000_000
 #: Passes of local search over a cell, and bins whose pairs it considers.
 PASSES = 4
 EMPTIEST = 16
@@ -126,7 +128,7 @@ def tokenize(
         return out
 
     texts = only(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
-    return in_batches(texts, work, f"{PIECE}, ids binary" if with_ids else PIECE)
+    return in_batches(texts, work, f"{PIECE}, ids binary" if with_ids else PIECE, SLICE)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, cell_pieces: int = CELL_PIECES) -> DataFrame:
