@@ -35,8 +35,7 @@ END_ID = 0
 CELL_PIECES = 32_768
 #: Bytes of text that a task tokenizes at a time.
 SLICE = 4_000_000
-#: Passes of local search over a cell, and bins whose pairs it considers.
-PASSES = 4
+#: Emptiest bins whose neighbouring pairs are offered two for one.
 EMPTIEST = 16
 #: Words whose ids a worker remembers; the memory starts afresh beyond it.
 REMEMBERED = 600_000
@@ -50,21 +49,22 @@ PACKED = f"{PIECE}, sequence_id long, offset long"
 class WordIds:
     """Token ids of texts.
 
-    The tokenizer lower-cases and splits at white space before anything else, so the ids of
-    a text are those of its words in a row, and a worker remembers the words it has seen.
+    The tokenizer splits at its special tokens, then lower-cases and splits at white space
+    before anything else, so the ids of a text are those of its words in a row, and a worker
+    remembers the words it has seen. A special token is a word of its own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        # The names of special tokens in a text are ordinary text.
-        self._tokenizer.encode_special_tokens = True
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        self._special = [t.content for t in added if not t.normalized]
         self._known: dict[str, bytes] = {}
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each text has."""
-        codes, n_words, words = coded_words(pc.ascii_lower(texts))
+        codes, n_words, words = coded_words(self._spaced(texts))
         ids = self._of_words(words.to_pylist())
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         starts = np.cumsum(lengths) - lengths
@@ -75,6 +75,16 @@ class WordIds:
         bounds = np.append(0, ends)[np.append(0, np.cumsum(n_words))]
         return flat[at], np.diff(bounds)
 
+    def _spaced(self, texts: pa.Array) -> pa.Array:
+        """Lower-cased texts; where that would make or hide special tokens, texts as they are,
+        with a space on both sides of these."""
+        lower = pc.ascii_lower(texts)
+        if not any(pc.any(pc.match_substring(lower, t.lower())).as_py() for t in self._special):
+            return lower
+        for token in self._special:
+            texts = pc.replace_substring(texts, token, f" {token} ")
+        return texts
+
     def _of_words(self, words: list[str]) -> list[bytes]:
         if len(self._known) > REMEMBERED:
             self._known = {}
@@ -135,7 +145,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, cell_pieces: int = CELL_PI
     """Give every piece a sequence and a place in it: ``PACKED``."""
     pieces = cut(pieces)
     cells = partitions_for(pieces.count(), cell_pieces)
-    cell = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(cells))
+    # The place of a row in the checkpoint spreads equal rows over the cells.
+    place_of = F.monotonically_increasing_id()
+    cell = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", place_of), F.lit(cells))
 
     def place(cell_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop(columns="cell").sort_values(
@@ -189,9 +201,8 @@ def _local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> l
     """Move and exchange documents until the free space makes up less than one bin, or no
     exchange helps. Fuller bins are filled first, from the emptiest that have what fits."""
     state = _Underfull(bins, lengths, capacity)
-    for _ in range(PASSES):
-        if state.spare < capacity or not state.improve():
-            break
+    while state.spare >= capacity and state.improve():
+        pass
     return [items for items in bins if items]
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -37,12 +37,14 @@ def test_coded_words_are_the_words_of_the_contract(texts):
 
 # Packing
 
+SPELLED = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", " ", "\n", "Word"])
+
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(max_size=40), min_size=1, max_size=4))
+@given(st.lists(st.lists(SPELLED | st.text(max_size=20), max_size=6).map("".join), min_size=1, max_size=4))
+@example(["hello x<|endoftext|>y <|EndOfText|> <|startoftext|><|endoftext|>", "plain Text"])
 def test_ids_are_those_of_the_whole_text(texts):
     plain = Tokenizer.from_file(TOKENIZER)
-    plain.encode_special_tokens = True
     ids, counts = packing.encoder(TOKENIZER)(pa.array(texts, pa.string()))
     parts = np.split(ids, np.cumsum(counts)[:-1])
     for text, own in zip(texts, parts):
@@ -89,6 +91,14 @@ def test_sequences_hold_the_ids(messy):
     assert total == sum(r["length"] for r in packed.collect())
 
 
+def test_equal_rows_spread_over_the_cells(spark, documents):
+    pieces = packing.tokenize(documents([(None, None, None, None)] * 400), TOKENIZER)
+    rows = packing.pack(pieces, cell_pieces=100).collect()
+    _check_packing(rows, packing.CAPACITY)
+    cells = Counter(r["sequence_id"] >> 32 for r in rows)
+    assert len(rows) == 400 and len(cells) == 4 and max(cells.values()) < 180
+
+
 def test_many_cells(messy):
     pieces = packing.tokenize(messy, TOKENIZER)
     rows = packing.pack(pieces, cell_pieces=10).collect()
