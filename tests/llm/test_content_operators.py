@@ -255,6 +255,84 @@ def test_values_keep_their_format(documents):
     assert rows[1]["text"] == f"é{new[6]}, {new[2]}"  # linked across documents
 
 
+def _luhn_sum_ok(digits):
+    return 13 <= len(digits) <= 19 and _luhn(digits)
+
+
+def _heads(value):
+    groups = re.findall(pii._GROUP, value)
+    return ["".join(groups[: i + 1]) for i in range(len(groups))]
+
+
+def _head(value):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    if re.fullmatch(pii.PATTERNS["card"], value):
+        return next((h for h in reversed(_heads(value)) if _luhn_sum_ok(digits(h))), value)
+    if value[0] == "+":
+        known = dict(part.split(":") for part in pii.PHONE_LENGTHS.split())
+        codes = [c for n in (1, 2, 3) if (c := digits(value)[:n]) in known]
+        return next((h for h in _heads(value) if codes and len(digits(h)) == int(known[codes[0]])), value)
+    if re.match("[A-Z]{2}[0-9]{2}", value):
+        known = {part[:2]: int(part[2:]) for part in pii.IBAN_LENGTHS.split()}
+        return next((h for h in _heads(value) if len(h.replace(" ", "")) == known.get(value[:2])), value)
+    return value
+
+
+def _replaced(text, new, levels=pii.LEVELS):
+    """The text by a plain scan; ``new`` gives pseudonyms, and collects what it is asked for."""
+    match = re.search(pii.CANDIDATE, text)
+    if not match or not levels:
+        return text, 0
+    out, n, at = "", 0, 0
+    matches = [*re.finditer(pii.CANDIDATE, text)]
+    for m, after in zip(matches, [x.start() for x in matches[1:]] + [len(text)]):
+        out += text[at : m.start()]
+        head = _head(m[0])
+        value = new(head)
+        kept = head if value != head else re.match(pii._GROUP, m[0])[0]
+        n += value != head
+        rest = m[0][len(kept) :]
+        behind, more = _replaced(rest + text[m.end() : after], new, levels - 1) if rest else (text[m.end() : after], 0)
+        out += (value if value != head else kept) + behind
+        n, at = n + more, after
+    return out + text[at:], n
+
+
+def test_candidates_are_cut_back_to_their_value(spark, documents):
+    card, iban, phone = "4111 1111 1111 1111", "ES9121000418450200051332", "+44 20 7946 0958"
+    texts = [card, f"{card} 12/26", f"{card} 123", iban, f"{iban} BIC CAIX", phone, f"{phone} 12"]
+    texts += ["1985-03-12", "1985-03-12T00:00:00Z", f"{card} 988-555-2485", "988-555-2485", f"{card} 123-45-6789"]
+    texts += ["123-45-6789", "Order 123 988-555-2485."]
+    rows = pii.pseudonymized(documents([(i, t, "en", "s") for i, t in enumerate(texts)]), "k").orderBy("doc_id").collect()
+    new = [r["text"] for r in rows]
+    assert new[1] == f"{new[0]} 12/26" and new[2] == f"{new[0]} 123" and new[0] != card
+    assert new[4] == f"{new[3]} BIC CAIX" and new[3] != iban
+    assert new[6] == f"{new[5]} 12" and new[5] != phone
+    assert new[8] == f"{new[7]}T00:00:00Z" and new[7] != "1985-03-12"
+    assert new[9] == f"{new[0]} {new[10]}" and new[11] == f"{new[0]} {new[12]}"
+    assert new[13] == f"Order 123 {new[10]}."
+    assert [r["n_found"] for r in rows] == [1] * 9 + [2, 1, 2, 1, 1]
+
+
+def test_random_texts_against_a_plain_scan(spark, documents):
+    pick = random.Random(4)
+    between = [" ", " ", ", ", "-", ".", " 12 ", "/", "\n", " x", "(", ") ", "é", " 123 4567 ", "T10:00", ""]
+    texts = [
+        "".join(pick.choice(VALUES + KEPT) + pick.choice(between) for _ in range(pick.randint(1, 8))) for _ in range(300)
+    ]
+    known = {}
+    # Values are asked for until none is new: what is replaced decides what is searched next.
+    while True:
+        asked = set()
+        want = [_replaced(t, lambda v: known.get(v) or asked.add(v) or v) for t in texts]
+        if not asked:
+            break
+        ask = spark.createDataFrame([(v,) for v in sorted(asked)], "v string")
+        known |= {r["v"]: r["p"] for r in ask.select("v", pii.pseudonym(F.col("v"), "k").alias("p")).collect()}
+    rows = pii.pseudonymized(documents([(i, t, "en", "s") for i, t in enumerate(texts)]), "k").orderBy("doc_id").collect()
+    assert [(r["text"], r["n_found"]) for r in rows] == want
+
+
 def test_messy_texts_stay(messy):
     rows = pii.pseudonymized(messy, "k")
     assert Counter((r["doc_id"], r["text"]) for r in rows.collect()) == Counter(
