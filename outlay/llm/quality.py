@@ -4,7 +4,7 @@ Every text gets counts and seven transformed statistics. Texts that pass the bas
 judged by the minimum-covariance-determinant (MCD) estimate of their language and source:
 the location and scatter of the three quarters of texts that lie closest together, found by
 concentration steps. A text is rejected when its squared Mahalanobis distance passes
-``CUTOFF``.
+``CUTOFF``. Every language and source has an estimate of its own, however small it is.
 
 The steps run on all texts as aggregations. Statistics are whole numbers on a grid, so sums
 are exact and reruns agree whatever the order. A step bins the distances of a stratum on a
@@ -13,8 +13,11 @@ the one that holds the needed share give the next estimate. Only bins reach a si
 and their number per stratum is bounded, so a source with a third of all rows is no harder
 than any other.
 
-A language and source with fewer than ``LEAST_ROWS`` texts is judged with the other small
-ones of its language, and where these are still too few, with those of all languages.
+An estimate from few texts is uncertain, so in the end each is drawn towards that of its
+language by the weight of ``PRIOR_ROWS`` texts, and a language's towards that of all texts. The
+pull fades smoothly with the number of texts, and no number changes the rule. The scatter
+also gets what lies between the two locations, so a source whose own style is far from its
+language's isn't judged by the latter's narrow scatter.
 
 Text that is mostly alike in a statistic (no symbols at all, say) would leave the scatter
 singular, and then any text that differs at all would lie infinitely far away. So the square
@@ -28,6 +31,7 @@ table gives no rows.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -48,7 +52,8 @@ SLICE = 4_000_000
 #: Share of texts that an estimate rests on, and the steps taken from the first estimate.
 SHARE = 0.75
 STEPS = 4
-LEAST_ROWS = 400
+#: Texts that the estimate of the next wider group counts for.
+PRIOR_ROWS = 100.0
 #: Squared distance beyond which a text is an outlier.
 CUTOFF = 60.0
 #: Statistics lie between 0 and 1 on a grid of this many steps.
@@ -175,11 +180,18 @@ def base_failed() -> Column:
 def judged(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """``text_statistics`` with ``base_failed``, ``distance`` (squared, null for texts that
     fail the base rules) and ``kept``."""
-    stats = cut(_with_strata(cut(stats)))
-    fit = stats.where(~F.col("base_failed")).select("stratum", *NAMES)
+    stats = cut(_with_strata(stats))
+    sound = stats.where(~F.col("base_failed"))
+    strata = F.explode(F.array("stratum", "_wider", F.lit(ALL)))
+    fit = sound.select(strata.alias("stratum"), *NAMES)
     estimate = cut(_first_estimate(fit))
     for _ in range(STEPS):
         estimate = cut(_concentrated(fit, estimate))
+    wider = sound.select("stratum", "_wider").distinct()
+    languages = wider.select(F.col("_wider").alias("stratum"), F.lit(ALL).alias("_wider")).distinct()
+    by_language = _drawn(estimate.join(languages, "stratum"), estimate)
+    estimate = cut(_drawn(estimate.join(wider, "stratum"), by_language))
+    stats = stats.drop("_wider")
     measured = join_rules(stats.where(~F.col("base_failed")), estimate, ["stratum"])
     measured = measured.withColumn("distance", _distance())
     out = [*stats.columns, "distance"]
@@ -190,29 +202,52 @@ def judged(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 
 
 def _with_strata(stats: DataFrame) -> DataFrame:
-    """Adds ``base_failed`` and ``stratum``, the group whose estimate judges a row."""
-    stats = stats.withColumn("base_failed", base_failed())
-    named = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
-    stats = stats.withColumn("_own", named)
-    sizes = stats.where(~F.col("base_failed")).groupBy("_own", "lang").agg(F.count("*").alias("n"))
-    small = F.when(F.col("n") < LEAST_ROWS, F.col("n")).otherwise(0)
-    by_language = sizes.groupBy(F.col("lang").alias("_lang")).agg(F.sum(small).alias("n_lang"))
-    chosen = sizes.join(by_language, F.col("lang").eqNullSafe(F.col("_lang"))).select(
-        "_own",
-        F.when(F.col("n") >= LEAST_ROWS, F.col("_own"))
-        .when(F.col("n_lang") >= LEAST_ROWS, _language(F.col("lang")))
-        .otherwise("")
-        .alias("stratum"),
+    """Adds ``base_failed``, ``stratum`` (language and source) and ``_wider`` (the language)."""
+    own = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
+    wider = F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})
+    return stats.withColumns({"base_failed": base_failed(), "stratum": own, "_wider": wider})
+
+
+def _drawn(own: DataFrame, wider: DataFrame) -> DataFrame:
+    """Estimates drawn towards those of their wider group, named in ``_wider``."""
+    names = [f.split(" ")[0] for f in ESTIMATE.split(", ")]
+    both = own.join(wider.select(*[F.col(c).alias(f"w_{c}") for c in names]), F.col("_wider") == F.col("w_stratum"))
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [_estimate_row(*_blend(r, PRIOR_ROWS)) for _, r in frame.iterrows()]
+            yield pd.concat(rows) if rows else pd.DataFrame(columns=names)
+
+    return both.mapInPandas(draw, ESTIMATE)
+
+
+def _blend(row: pd.Series, prior: float) -> tuple[str, float, np.ndarray, np.ndarray]:
+    """Of a row with an estimate and the wider one (``w_``): stratum, texts, location, scatter."""
+    (mean, scatter), (wide_mean, wide_scatter) = _moments(row, ""), _moments(row, "w_")
+    own = row["n"] / (row["n"] + prior)
+    apart = np.outer(mean - wide_mean, mean - wide_mean)
+    return (
+        row["stratum"],
+        row["n"],
+        own * mean + (1 - own) * wide_mean,
+        own * scatter + (1 - own) * wide_scatter + own * (1 - own) * apart,
     )
-    return stats.join(chosen, "_own", "left").drop("_own")
 
 
-def _language(lang: Column) -> Column:
-    return F.to_json(F.struct(lang.alias("lang")), {"ignoreNullFields": "false"})
+def _moments(row: pd.Series, prefix: str) -> tuple[np.ndarray, np.ndarray]:
+    """Location and scatter of a stored estimate."""
+    mean = np.array([row[f"{prefix}m{i}"] for i in range(P)])
+    inverse = np.zeros((P, P))
+    for i in range(P):
+        for j in range(i, P):
+            inverse[i, j] = inverse[j, i] = row[f"{prefix}s{i}_{j}"] / (1 if i == j else 2)
+    return mean, np.linalg.inv(inverse) - _floor()
 
 
+#: The stratum of all texts, and the columns of an estimate.
+ALL = ""
 ESTIMATE = (
-    "stratum string, "
+    "stratum string, n double, "
     + ", ".join(f"m{i} double" for i in range(P))
     + ", "
     + ", ".join(f"s{i}_{j} double" for i in range(P) for j in range(i, P))
@@ -237,7 +272,8 @@ def _first_estimate(fit: DataFrame) -> DataFrame:
             low, mid, high = own["value"].to_numpy()[np.searchsorted(share, (0.25, 0.5, 0.75))]
             middle[i] = mid
             variance[i] = ((high - low) / 1.349) ** 2
-        return _estimate_row(rows["stratum"].iloc[0], middle / GRID, np.diag(variance / GRID**2))
+        n = float(rows.loc[rows["dim"] == 0, "n"].sum())
+        return _estimate_row(rows["stratum"].iloc[0], n, middle / GRID, np.diag(variance / GRID**2))
 
     return counted.groupBy("stratum").applyInPandas(quartiles, ESTIMATE)
 
@@ -270,7 +306,8 @@ def _concentrated(fit: DataFrame, estimate: DataFrame) -> DataFrame:
             for j in range(i, P):
                 product = own[f"t{i}_{j}"].sum() / n / GRID**2 - mean[i] * mean[j]
                 scatter[i, j] = scatter[j, i] = product
-        return _estimate_row(rows["stratum"].iloc[0], mean, scatter * consistency(n / reached[-1]))
+        whole = float(reached[-1])
+        return _estimate_row(rows["stratum"].iloc[0], whole, mean, scatter * consistency(n / whole))
 
     return binned.groupBy("stratum").applyInPandas(closest, ESTIMATE)
 
@@ -292,10 +329,13 @@ def consistency(share: float) -> float:
     return share / float(more[np.searchsorted(wider, min(quantile, wider[-1]))])
 
 
-def _estimate_row(stratum: str, mean: np.ndarray, scatter: np.ndarray) -> pd.DataFrame:
-    floor = np.array(list(TOLERANCE.values())) ** 2
-    inverse = np.linalg.inv(scatter + np.diag(floor))
-    row = [stratum, *mean]
+def _floor() -> np.ndarray:
+    return np.diag(np.array(list(TOLERANCE.values())) ** 2)
+
+
+def _estimate_row(stratum: str, n: float, mean: np.ndarray, scatter: np.ndarray) -> pd.DataFrame:
+    inverse = np.linalg.inv(scatter + _floor())
+    row = [stratum, n, *mean]
     row += [float(inverse[i, j]) * (1 if i == j else 2) for i in range(P) for j in range(i, P)]
     return pd.DataFrame([row], columns=[part.split(" ")[0] for part in ESTIMATE.split(", ")])
 

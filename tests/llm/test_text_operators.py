@@ -329,6 +329,29 @@ def test_an_estimate_is_the_mean_and_scatter_of_the_closest(spark):
     assert np.allclose(got, np.diag(want), rtol=0.35)
 
 
+def test_small_groups_are_drawn_towards_the_wider_one_smoothly():
+    pick = np.random.default_rng(5)
+    means = pick.random((2, quality.P))
+    scatters = [np.cov(pick.random((20, quality.P)).T) for _ in range(2)]
+    for n in (1, 99, 100, 101, 399, 400, 401, 10_000):
+        own = quality._estimate_row("own", n, means[0], scatters[0]).iloc[0]
+        wide = quality._estimate_row("wide", 5000, means[1], scatters[1]).iloc[0].add_prefix("w_")
+        _, _, mean, scatter = quality._blend(quality.pd.concat([own, wide]), 100)
+        w = n / (n + 100)
+        assert np.allclose(mean, w * means[0] + (1 - w) * means[1])
+        # Location and scatter of a mixture of the two groups.
+        second = [s + np.outer(m, m) for s, m in zip(scatters, means)]
+        assert np.allclose(scatter, w * second[0] + (1 - w) * second[1] - np.outer(mean, mean), atol=1e-6)
+
+
+def test_every_source_has_its_own_estimate(documents, prose):
+    rows = [(i, prose(i, 70 + i % 40), "en", f"s{i % 5}") for i in range(60)]
+    # Prose of another kind altogether, in a source with few texts.
+    rows += [(100 + i, prose(i, 70 + i).upper().replace(" ", "; "), "en", "odd") for i in range(12)]
+    kept = quality.judged(quality.text_statistics(documents(rows))).where("kept")
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, *_ in rows}
+
+
 def test_consistency_factor_of_a_normal_sample():
     pick = np.random.default_rng(4).standard_normal((200_000, quality.P))
     near = pick[np.argsort((pick**2).sum(axis=1))[: int(0.75 * len(pick))]]
