@@ -192,11 +192,18 @@ def _date(text: str | None) -> Column | None:
     return F.try_to_date(F.lit(text), "yyyy-MM-dd")
 
 
+def searched_text(s: Search) -> str | None:
+    """The text that vendor names must contain, if a search has one that is long enough."""
+    q = (s.q or "").strip()[:QUERY_LENGTH]
+    return q if len(q) >= QUERY_MIN_LENGTH else None
+
+
 def search(txns: DataFrame, s: Search) -> DataFrame:
-    """All payments a search matches. Equality and range filters reach the scan."""
+    """All payments a search matches. Equality and range filters reach the scan; for a text
+    in the name ``Store.searched`` gives the payments to look among."""
     df = txns
-    q = (s.q or "").strip()[:QUERY_LENGTH]
-    if len(q) >= QUERY_MIN_LENGTH:
+    q = searched_text(s)
+    if q is not None:
         df = df.where(F.contains(F.lower("vendor_name"), F.lower(F.lit(q))))
     for column in ("jurisdiction_id", "department", "category"):
         wanted = getattr(s, column)

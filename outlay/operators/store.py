@@ -28,15 +28,21 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from outlay.operators import name_index
 from outlay.operators.common import ranked
+from outlay.operators.explore import Search, searched_text
 from outlay.operators.incremental import STATE, State, Step
 from outlay.schema import TABLES
-from outlay.session import discard, scratch_path
+from outlay.session import cut, discard, scratch_path
 
 #: Folder name of a null partition value.
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 #: Buckets of the vendor tables; a save rewrites those its vendors fall into.
 VENDOR_BUCKETS = 32
+#: Order of rows in the files of a table, by which scans leave row groups out.
+SORTED = {"name_postings": "piece"}
+#: Writes that a bucket of the name index is made of before it is written anew.
+MOST_WRITES = 8
 
 # Business keys of records without an id of their own.
 BUDGET_KEY = ("jurisdiction_id", "fiscal_year", "department", "category")
@@ -187,6 +193,8 @@ class Store:
         # over several tasks. Marks are counted behind it, in the tasks that write: those of a
         # lost executor are counted once, which earlier stages don't assure.
         writer = fitted.hint("rebalance", *partition) if partition else fitted
+        if table in SORTED:
+            writer = writer.sortWithinPartitions(*partition, SORTED[table])
         counted = Observation()
         marks = [F.count_if(F.col("_mark") == m).alias(m) for m in ("inserted", "updated")]
         write = uuid.uuid4().hex
@@ -398,8 +406,51 @@ class Store:
         self, batch: DataFrame, order: Column | None = None, moves: bool = True
     ) -> Counts:
         """Without ``moves`` ids must contain the jurisdiction, as normalized rows' ids do."""
+        if "vendor_name_raw" in batch.columns:
+            self.index_names(batch.select("jurisdiction_id", F.col("vendor_name_raw").alias("vendor_name")))
         return self.upsert(batch, "transactions", ["id"], "jurisdiction_id", order, moves)
 
+    def index_names(self, payments: DataFrame) -> None:
+        """Add the names of ``payments`` that are not in the name index yet. This comes before the
+        payments are stored, so the index always has all their names; the list of names comes after
+        the postings, so that a name on it has them."""
+        named = name_index.pairs_of(payments)
+        place = name_index.bucket("vendor_name", VENDOR_BUCKETS)
+        with self._staged(named.withColumn("bucket", place)) as pairs:
+            known = self.read("indexed_names").where(self._within("bucket", self._values(pairs, "bucket")))
+            same = [pairs[c].eqNullSafe(known[c]) for c in name_index.PAIR]
+            with self._staged(pairs.join(known, same, "left_anti")) as fresh:
+                if fresh.isEmpty():
+                    return
+                postings = name_index.postings_of(fresh)
+                places = name_index.bucket("piece", VENDOR_BUCKETS)
+                self.append(postings.withColumn("bucket", places), "name_postings", ["bucket"])
+                self.append(fresh, "indexed_names", ["bucket"])
+        for table in ("name_postings", "indexed_names"):
+            self.compact(table, "bucket")
+
+    def compact(self, table: str, partition: str, most: int = MOST_WRITES) -> int:
+        """Write the partitions that more than ``most`` writes fill anew as one; how many."""
+        base = self.version(table)
+        values = [unquote(f.partition("=")[2]) for f, writes in base.folders.items() if len(writes) > most]
+        if values:
+            column = F.coalesce(F.col(partition).cast("string"), F.lit(NULL_PARTITION))
+            rows = self.read(table, base).where(column.isin(values))
+            self._replace(rows, table, partition, values, base)
+        return len(values)
+
+    def names_like(self, text: str) -> DataFrame:
+        """Names, by jurisdiction, that contain a text, from the name index."""
+        return name_index.matching(self.spark, self.read("name_postings"), text, VENDOR_BUCKETS)
+
+    def searched(self, s: Search, payments: DataFrame | None = None) -> DataFrame:
+        """The payments among which a search is to look: those of the names that contain its
+        text, by the name index, or all if it has none."""
+        if payments is None:
+            payments = self.read("transactions").withColumnRenamed("vendor_name_raw", "vendor_name")
+        text = searched_text(s)
+        return payments if text is None else name_index.narrowed(payments, cut(self.names_like(text)))
+
     def save_budgets(self, batch: DataFrame, order: Column | None = None) -> Counts:
         return self._by_business_key(batch, "budgets", BUDGET_KEY, order)
 

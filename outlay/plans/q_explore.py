@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from outlay.operators import explore as ex
 from outlay.operators import spend
+from outlay.operators.store import Store
 from outlay.plans.catalog import CTES, money, query, sql
 from outlay.plans.q_spend import monthly
 from outlay.plans.txn import jurisdictions, payments, vendors
+from outlay.session import scratch_path
 
 _TOTALS = f"{money('sum(amount)', 'total')}, count(*) AS count"
 _ROW = (
@@ -333,6 +335,46 @@ def search_count(spark, sf):
     return ex.search_count(rows, FILTERED)
 
 
+#: A text that many names contain, and one found in few.
+WIDE, NARROW = "R#00000000", "lier#000000007"
+
+
+def _index(spark, sf) -> Store:
+    """A name index of the payments, fed in two steps that share names."""
+    store = Store(spark, scratch_path(spark, "names"))
+    rows = payments(spark, sf, "jurisdiction_id", "vendor_name", "date")
+    for part in ("date < '1995-06-01'", "date >= '1995-01-01' or date is null"):
+        store.index_names(rows.where(part))
+    return store
+
+
+@query(
+    "search_index_names",
+    sql(
+        f"""SELECT DISTINCT jurisdiction_id, vendor_name FROM txn
+WHERE contains(lower(vendor_name), lower('{WIDE}'))""",
+        "txn",
+    ),
+)
+def search_index_names(spark, sf):
+    return _index(spark, sf).names_like(WIDE)
+
+
+@query(
+    "search_index_page",
+    _page(f"WHERE contains(lower(vendor_name), '{NARROW}')", "date DESC NULLS FIRST"),
+)
+def search_index_page(spark, sf):
+    s = ex.Search(q=NARROW)
+    return ex.search_page(_index(spark, sf).searched(s, payments(spark, sf, *_ALL)), s)
+
+
+@query("search_index_count", sql(f"SELECT count(*) AS total FROM txn {_WHERE}", "txn"))
+def search_index_count(spark, sf):
+    rows = payments(spark, sf, "jurisdiction_id", "vendor_name", "department", "category", "amount", "date")
+    return ex.search_count(_index(spark, sf).searched(FILTERED, rows), FILTERED)
+
+
 CTES["mentioned"] = """
   SELECT vendor_id, count(*) AS mention_count, min(amount) AS least FROM txn GROUP BY vendor_id"""
 

@@ -188,6 +188,10 @@ RESOLUTION_FOUNDERS = _struct(vendor_id=_S, founder=_S, run=_L, bucket=T.Integer
 
 VENDOR_LINEAGE = _struct(run=_L, old_id=_S, new_id=_S, change=_S)
 
+INDEXED_NAMES = _struct(jurisdiction_id=_S, vendor_name=_S, bucket=_I)
+
+NAME_POSTINGS = _struct(piece=_S, jurisdiction_id=_S, vendor_name=_S, bucket=_I)
+
 TABLES = {
     "transactions": TRANSACTIONS,
     "budgets": BUDGETS,
@@ -206,4 +210,6 @@ TABLES = {
     "resolution_pairs": RESOLUTION_PAIRS,
     "resolution_founders": RESOLUTION_FOUNDERS,
     "vendor_lineage": VENDOR_LINEAGE,
+    "indexed_names": INDEXED_NAMES,
+    "name_postings": NAME_POSTINGS,
 }

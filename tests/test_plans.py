@@ -26,10 +26,13 @@ SAMPLE = [
     "health_latest",
     "store_upsert_moves",
     "mentions",
+    "search_index_names",
+    "search_index_page",
+    "search_index_count",
 ]
 #: Queries that run jobs of their own before they give a plan; the operators inside them have
 #: other queries, or are run in the other tests.
-EAGER = ("store_", "stream_", "alert", "read_", "resolve_", "recent_matches", "dashboard_summary")
+EAGER = ("store_", "stream_", "alert", "read_", "resolve_", "search_index_", "recent_matches", "dashboard_summary")
 PLANNED = [name for name in registered.queries() if not name.startswith(EAGER)]
 PLANNED += ["resolve_pairs", "resolve_pair_scores", "alert_matches"]
 
