@@ -4,9 +4,16 @@ A page is read into blocks of text, each with its path of tags from the root. Bl
 places that never hold an article (navigation, footers, forms, scripts, adverts, comments
 and the like, by tag, role or name) are left out first. For the others, text length and
 punctuation are summed up per path, since the paragraphs of an article share a path while
-menus and notices have paths with little text and punctuation. The ratios of a path are
-smoothed over its neighbours in page order, fused with the ratio of the containers it
-stands in, and paths beyond a threshold are content: all their blocks are returned.
+menus and notices have paths with little text and punctuation; what stands in links counts
+for less. The ratios of a path are smoothed over its neighbours in page order and fused with
+those of all containers it stands in, nearer ones counting more, and paths beyond a threshold
+are content: all their blocks are returned.
+
+The main container is found from the root down: as long as one child holds most of what
+speaks for content, the search goes on in it, and it ends in an ``article``. Within it titles,
+lists and quotes profit from the paragraphs around them. Paths elsewhere have their own ratio
+only, times the share of the branch they stand in. ``article`` and ``main`` are a factor on
+ratios and shares; they decide nothing alone.
 
 Defined results: a null or empty page, or one without content, has the text ``""``; markup
 that is never closed ends with the page; repeated rows are read alike; an empty table gives
@@ -28,6 +35,13 @@ from outlay.llm.base import in_batches, only, text_or_empty
 
 #: Share of the best path's score from which a path is content.
 THRESHOLD = 0.2
+#: What a container passes on to the paths in it, for every level between.
+DECAY = 0.7
+#: Share of a container's content that a child needs to be searched instead of it.
+MOST = 0.75
+#: Factor of what stands in ``article`` or ``main``, and loss of a path that is all links.
+MARKED = 1.5
+LINK_LOSS = 0.7
 #: Blocks to either side that smoothing reaches, and its width.
 REACH, WIDTH = 2, 1.0
 
@@ -56,6 +70,12 @@ NEVER_NAMES = set(
     " notices notification alert popup modal overlay newsletter subscribe subscription signup"
     " login pagination pager paging toolbar skip hidden".split()
 )
+# Words that change nothing beside one of those, as in "site-header" or "comment-list".
+PLAIN_NAMES = set(
+    "site page main top bottom left right list box bar wrap wrapper container block section area"
+    " links link buttons button item items slot global primary secondary form panel unit inner"
+    " outer group row col post posts user text message js the".split()
+)
 CLOSED_BY = {
     "li": {"li"},
     "dt": {"dt", "dd"},
@@ -80,40 +100,63 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：«»“”\"()\-–—]")
 
 
+class Paths:
+    """The tree of tag paths of a page: a number for each, greater than that of its parent.
+    Path 0 is the root. However deep a page is nested, a path takes one entry."""
+
+    def __init__(self) -> None:
+        self.parent, self.label = [0], [""]
+        self._numbers: dict[tuple[int, str], int] = {}
+
+    def below(self, parent: int, label: str) -> int:
+        number = self._numbers.setdefault((parent, label), len(self.parent))
+        if number == len(self.parent):
+            self.parent.append(parent)
+            self.label.append(label)
+        return number
+
+
 @dataclass
 class Element:
     tag: str
-    path: str
+    path: int
     never: bool
     content: bool
+    link: bool
 
 
 @dataclass
 class Block:
-    path: str
+    path: int
     text: str
     content: bool
+    linked: float = 0.0
 
 
 def main_text(page: str) -> str:
-    blocks = blocks_of(page)
-    chosen = content_paths(blocks)
+    paths = Paths()
+    blocks = blocks_of(page, paths)
+    chosen = content_paths(blocks, paths)
     return "\n\n".join(b.text for b in blocks if b.path in chosen)
 
 
-def blocks_of(page: str) -> list[Block]:
+def blocks_of(page: str, paths: Paths) -> list[Block]:
     """Blocks of text outside places that never hold an article, in page order."""
     blocks: list[Block] = []
-    stack = [Element("", "", False, False)]
+    stack = [Element("", 0, False, False, False)]
     parts: list[str] = []
+    linked = 0
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            parts.clear()
             block = next(e for e in reversed(stack) if e.tag not in INLINE)
             if text:
-                blocks.append(Block(block.path, text, block.content))
+                share = 0.0 if block.tag in HEADINGS else min(1.0, linked / len(text))
+                blocks.append(Block(block.path, text, block.content, share))
+            parts.clear()
+            linked = 0
 
     def leave(down_to: int) -> None:
         if any(e.tag not in INLINE for e in stack[down_to:]):
@@ -125,6 +168,7 @@ def blocks_of(page: str) -> list[Block]:
         found = _MARKUP.search(page, at)
         if not stack[-1].never:
             parts.append(page[at : found.start() if found else len(page)])
+            linked += len(parts[-1].strip()) if stack[-1].link else 0
         if not found:
             break
         at = found.end()
@@ -153,7 +197,7 @@ def blocks_of(page: str) -> list[Block]:
             at = close.end()
             continue
         if not attributes.rstrip().endswith("/") or tag not in ("svg", "math"):
-            stack.append(_element(tag, attributes, stack[-1]))
+            stack.append(_element(tag, attributes, stack[-1], paths))
     flush()
     return blocks
 
@@ -170,7 +214,7 @@ def _close_implied(tag: str, stack: list[Element], leave) -> None:
             return
 
 
-def _element(tag: str, attributes: str, parent: Element) -> Element:
+def _element(tag: str, attributes: str, parent: Element, paths: Paths) -> Element:
     names = ""
     never = parent.never or tag in NEVER or (tag == "header" and not parent.content)
     content = parent.content or tag in CONTENT
@@ -182,7 +226,7 @@ def _element(tag: str, attributes: str, parent: Element) -> Element:
             if tag in CONTENT:
                 continue
             if name in ("class", "id"):
-                never |= any(w.lower() in NEVER_NAMES for w in _NAME.findall(value))
+                never |= any(_never_name(name) for name in value.split())
             elif name == "role":
                 never |= value.lower() in NEVER_ROLES
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -190,37 +234,55 @@ def _element(tag: str, attributes: str, parent: Element) -> Element:
             elif name == "style":
                 never |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
     label = f"{tag}.{names}" if names else tag
-    path = parent.path if tag in INLINE and tag != "a" else f"{parent.path}/{label}"
-    return Element(tag, path, never, content)
+    path = parent.path if tag in INLINE and tag != "a" else paths.below(parent.path, label)
+    return Element(tag, path, never, content, parent.link or tag == "a")
+
+
+def _never_name(name: str) -> bool:
+    """Whether a whole name says that no article is here: ``share-buttons`` does, but
+    ``market-share`` doesn't."""
+    words = {w.lower() for w in _NAME.findall(name)}
+    return not words.isdisjoint(NEVER_NAMES) and words <= NEVER_NAMES | PLAIN_NAMES
 
 
-def content_paths(blocks: list[Block]) -> set[str]:
+@dataclass
+class Sums:
+    """What is counted of a path: characters, those in links, punctuation and blocks."""
+
+    length: int = 0
+    linked: float = 0.0
+    marks: int = 0
+    number: int = 0
+    content: bool = False
+
+    def ratio(self) -> float:
+        value = log1p(self.length / self.number) * log1p(1 + self.marks / self.number) * log1p(self.length)
+        return value * (1 - LINK_LOSS * self.linked / self.length) * (MARKED if self.content else 1)
+
+
+def content_paths(blocks: list[Block], paths: Paths) -> set[int]:
     """Paths whose fused ratio passes the threshold."""
-    length: dict[str, int] = {}
-    marks: dict[str, int] = {}
-    number: dict[str, int] = {}
+    sums: dict[int, Sums] = {}
     for b in blocks:
-        length[b.path] = length.get(b.path, 0) + len(b.text)
-        marks[b.path] = marks.get(b.path, 0) + len(_PUNCTUATION.findall(b.text))
-        number[b.path] = number.get(b.path, 0) + 1
-    if not number:
+        own = sums.setdefault(b.path, Sums(content=b.content))
+        own.length += len(b.text)
+        own.linked += b.linked * len(b.text)
+        own.marks += len(_PUNCTUATION.findall(b.text))
+        own.number += 1
+    if not sums:
         return set()
-    ratio = {
-        p: log1p(length[p] / number[p]) * log1p(1 + marks[p] / number[p]) * log1p(length[p])
-        for p in number
-    }
-    smooth = _smoothed(blocks, ratio)
-    fused = _fused(blocks, smooth, length)
+    ratio = {p: own.ratio() for p, own in sums.items()}
+    fused = _fused(paths, sums, ratio, _smoothed(blocks, ratio))
     best = max(fused.values())
     return {p for p, score in fused.items() if score >= THRESHOLD * best}
 
 
-def _smoothed(blocks: list[Block], ratio: dict[str, float]) -> dict[str, float]:
+def _smoothed(blocks: list[Block], ratio: dict[int, float]) -> dict[int, float]:
     """The mean over a path's blocks of the ratios around them, nearer ones counting more."""
     weights = [exp(-(d * d) / (2 * WIDTH * WIDTH)) for d in range(REACH + 1)]
     series = [ratio[b.path] for b in blocks]
-    total: dict[str, float] = {}
-    count: dict[str, int] = {}
+    total: dict[int, float] = {}
+    count: dict[int, int] = {}
     for i, b in enumerate(blocks):
         near = range(max(0, i - REACH), min(len(blocks), i + REACH + 1))
         weight = sum(weights[abs(i - j)] for j in near)
@@ -230,19 +292,59 @@ def _smoothed(blocks: list[Block], ratio: dict[str, float]) -> dict[str, float]:
     return {p: total[p] / count[p] for p in total}
 
 
-def _fused(blocks: list[Block], smooth: dict[str, float], length: dict[str, int]) -> dict[str, float]:
-    """A path's own ratio times the share of text in its container. Where the page marks its
-    article, what stands inside counts in full and what stands outside hardly at all."""
-    container: dict[str, int] = {}
-    for p in smooth:
-        parent = p.rpartition("/")[0]
-        container[parent] = container.get(parent, 0) + length[p]
-    everything = sum(length.values())
-    marked = {b.path: b.content for b in blocks}
-    if any(marked.values()):
-        best = max(smooth.values())
-        return {p: best if marked[p] else 0.05 * value for p, value in smooth.items()}
-    return {p: v * container[p.rpartition("/")[0]] / everything for p, v in smooth.items()}
+def _fused(
+    paths: Paths, sums: dict[int, Sums], ratio: dict[int, float], smooth: dict[int, float]
+) -> dict[int, float]:
+    """The ratio of every path, fused with those of its containers."""
+    parent, number = paths.parent, len(paths.parent)
+    length = [sums[p].length if p in sums else 0 for p in range(number)]
+    mass = [length[p] * smooth.get(p, 0.0) for p in range(number)]
+    for p in range(number - 1, 0, -1):
+        length[parent[p]] += length[p]
+        mass[parent[p]] += mass[p]
+    main = _main_container(paths, mass)
+    above, at = {0}, main
+    while at:
+        above.add(at)
+        at = parent[at]
+    # What containers within the main one pass on to a path; the share of a branch elsewhere.
+    passed, branch = [0.0] * number, [0.0] * number
+    fused = {}
+    for p in range(number):
+        if not length[p]:
+            continue
+        here = mass[p] / length[p]
+        inside = p == main or passed[parent[p]] > 0
+        if inside:
+            passed[p] = max(here, DECAY * passed[parent[p]])
+        elif p not in above:
+            branch[p] = mass[p] if parent[p] in above else branch[parent[p]]
+        if p not in sums:
+            continue
+        if inside:
+            links = 1 - LINK_LOSS * sums[p].linked / sums[p].length
+            given = here if p == main else passed[parent[p]]
+            fused[p] = max(smooth[p], DECAY * given * links)
+        else:
+            own = branch[p] or sums[p].length * smooth[p]
+            fused[p] = min(ratio[p], smooth[p]) * own / mass[0]
+    return fused
+
+
+def _main_container(paths: Paths, mass: list[float]) -> int:
+    """The container that holds most of the content, or the ``article`` on the way there."""
+    children: dict[int, list[int]] = {}
+    for p in range(1, len(mass)):
+        if mass[p]:
+            children.setdefault(paths.parent[p], []).append(p)
+    at = 0
+    while paths.label[at].partition(".")[0] != "article":
+        holders = [c for c in children.get(at, ()) if c in children]
+        child = max(holders, key=lambda c: mass[c], default=at)
+        if child == at or mass[child] < MOST * mass[at]:
+            break
+        at = child
+    return at
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -45,6 +46,98 @@ def test_page_without_marked_article(prose):
         assert " ".join(prose(i, 60).split()) in text
 
 
+def test_ratios_decide_beside_marks_and_names(prose):
+    body = "".join(f"<p>{' '.join(prose(i, 60).split())}</p>" for i in range(6))
+    paragraphs = [p for p in re.split("</?p>", body) if p]
+    teaser = f"<article><h3>Teaser</h3><p>{' '.join(prose(9, 30).split())}</p></article>"
+    links = "".join(f"<li><a href=/{i}>Other page</a></li>" for i in range(8))
+    lists = "<ul><li>one</li><li>two things</li></ul><blockquote>Said by someone</blockquote>"
+    for page, want in (
+        (f"<div class=story>{body}</div>{teaser}", paragraphs),
+        (f'<div class="market-share">{body}</div>', paragraphs),
+        (f"<div>{body}</div><div class='share-buttons main'>Send it on.</div>", paragraphs),
+        (
+            f"<div><h1>Its title</h1>{body}{lists}</div><p>Copyright 2020</p>",
+            ["Its title", *paragraphs, "one", "two things", "Said by someone"],
+        ),
+        (f"<article>{body}<ul>{links}</ul></article>", paragraphs),
+        (f"<main><article>{body}</article><div>Stay in touch with us</div></main>", paragraphs),
+    ):
+        assert extraction.main_text(f"<body>{page}</body>").split("\n\n") == want
+
+
+def test_marks_may_be_taken_off(spark):
+    for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        bare = row["html"].replace("<article", "<div").replace("</article", "</div")
+        assert extraction.main_text(row["html"]) == extraction.main_text(bare) != ""
+
+
+def _slow_choice(blocks, paths):
+    """Contained text and mass by walking up from every block, for comparison."""
+    def up(p):
+        out = [p]
+        while p:
+            p = paths.parent[p]
+            out.append(p)
+        return out
+
+    own = {p: [b for b in blocks if b.path == p] for p in {b.path for b in blocks}}
+    ratio = {}
+    for p, bs in own.items():
+        n, marks = sum(len(b.text) for b in bs), sum(len(extraction._PUNCTUATION.findall(b.text)) for b in bs)
+        linked = sum(b.linked * len(b.text) for b in bs) / n
+        value = math.log1p(n / len(bs)) * math.log1p(1 + marks / len(bs)) * math.log1p(n)
+        ratio[p] = value * (1 - 0.7 * linked) * (1.5 if bs[0].content else 1)
+    near = {}
+    for i, b in enumerate(blocks):
+        w = [(math.exp(-((i - j) ** 2) / 2), ratio[c.path]) for j, c in enumerate(blocks) if abs(i - j) <= 2]
+        near.setdefault(b.path, []).append(sum(x * y for x, y in w) / sum(x for x, _ in w))
+    smooth = {p: sum(v) / len(v) for p, v in near.items()}
+    size = {p: sum(len(b.text) for b in bs) for p, bs in own.items()}
+
+    def total(c, of):
+        return sum(of(p) for p in own if c in up(p))
+
+    mass = lambda c: total(c, lambda p: size[p] * smooth[p])
+    mean = lambda c: mass(c) / total(c, lambda p: size[p])
+    holders = {c for p in own for c in up(p)[1:]}
+    main = 0
+    while paths.label[main].split(".")[0] != "article":
+        below = sorted((c for c in holders if c and paths.parent[c] == main), key=mass)
+        if not below or mass(below[-1]) < 0.75 * mass(main):
+            break
+        main = below[-1]
+    fused = {}
+    for p, bs in own.items():
+        way = up(p)
+        if main in way:
+            linked = sum(b.linked * len(b.text) for b in bs) / size[p]
+            over = [(i, c) for i, c in enumerate(way[: way.index(main) + 1]) if i or p == main]
+            given = max(0.7 ** max(i, 1) * mean(c) for i, c in over)
+            fused[p] = max(smooth[p], given * (1 - 0.7 * linked))
+        else:
+            apart = [c for c in way if c not in up(main)]
+            fused[p] = min(ratio[p], smooth[p]) * (mass(apart[-1]) if apart else size[p] * smooth[p]) / mass(0)
+    best = max(fused.values(), default=0)
+    return {p for p, v in fused.items() if v >= 0.2 * best}
+
+
+@settings(max_examples=150, deadline=None)
+@given(
+    st.lists(
+        st.sampled_from(
+            ["<p>", "</p>", "<div>", "</div>", "<div class=x>", "<article>", "</article>", "<main>", "<a href=x>", "</a>"]
+            + ["<ul><li>", "</ul>", "<h2>", "</h2>", "One, two; three. Four", "plain words here", "x"]
+        ),
+        max_size=30,
+    )
+)
+def test_choice_of_paths_equals_a_slow_version(parts):
+    paths = extraction.Paths()
+    blocks = extraction.blocks_of("".join(parts), paths)
+    assert extraction.content_paths(blocks, paths) == _slow_choice(blocks, paths)
+
+
 def test_pages_of_every_kind(spark):
     rows = [
         (1, "u", PAGE, "x"),
@@ -54,7 +147,7 @@ def test_pages_of_every_kind(spark):
         (None, "u", "<article>plain &nbsp; text", "x"),
         (4, "u", "<article>" + "<p>word, " * 20_000, "x"),
         (5, "u", "<" * 5000 + "<p <div 'x", "x"),
-        (6, "u", "<article>" + "<div>" * 3000 + "deep.", "x"),
+        (6, "u", "<article>" + "<div>" * 30_000 + "deep.", "x"),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = extraction.extract(pages).collect()
