@@ -2,8 +2,10 @@
 
 Three fixed forms are always reported: assignments to names such as ``password``, access
 key ids, and long runs of hexadecimal digits. Other secrets have no form except that they
-look random. A string of letters, digits and the marks of base 64 with characters of two
-kinds or more is given the narrowest encoding that fits, and is tested for randomness in it:
+look random. What the fixed forms leave of a run of letters, digits and the marks of base 64
+is tested as a whole, and so is every part between marks, since keys often have a prefix of
+another encoding or stand side by side. A string is given the narrowest encoding that fits
+(digits alone are numbers and have none), and is tested for randomness in it:
 
 * chi-squared, whether all symbols of the alphabet are alike frequent, and likewise its
   digits, capitals and small letters;
@@ -17,8 +19,11 @@ half. Each stratum gets the lowest cutoff at which no more than ``FALSE_SHARE``
 passes is expected not to be random. Short strings of wide alphabets overlap more with
 ordinary ones, and so get a higher cutoff by themselves.
 
-Strata are counted over the whole corpus; a few hundred counts reach the driver. A stratum
-with too few strings to estimate from uses ``PLAIN_CUTOFF``.
+Strata are counted over the whole corpus; a few hundred counts reach the driver. Every stratum
+is completed, by the same rule at every count, by the strings of other lengths in its encoding
+(the fewer it has itself and the nearer they are, the more they count) and by ``PRIOR`` random
+strings. Of a whole and its parts, the kind that holds the most random string is reported if
+it passes, and else the other.
 
 Defined results: null and empty texts have no spans; repeated rows count repeatedly, as
 more evidence of the same; an empty table gives no rows.
@@ -52,9 +57,12 @@ _NAMES = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 #: Shortest string that is tested.
 LEAST_LENGTH = 20
 FALSE_SHARE = 0.05
-#: Strings a stratum needs for its own cutoff, and the cutoff of smaller ones.
-LEAST_COUNT = 40
+#: Least cutoff.
 PLAIN_CUTOFF = 0.01
+#: Random strings that every stratum has to begin with.
+PRIOR = 20.0
+#: Weight of the next length class, and the count at which other lengths count half as much.
+NEIGHBOUR, HALF = 0.5, 40.0
 #: Steps in which probabilities are counted.
 STEPS = 100
 LENGTH_CLASSES = (20, 24, 32, 48, 64, 128)
@@ -63,6 +71,8 @@ _DIGITS = "0123456789"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
 ENCODINGS = {
+    "lower": _LOWER,
+    "upper": _UPPER,
     "hex": _DIGITS + "abcdef",
     "hex_upper": _DIGITS + "ABCDEF",
     "base32": _UPPER + "234567",
@@ -73,15 +83,17 @@ ENCODINGS = {
     "base64_url": _DIGITS + _UPPER + _LOWER + "-_",
 }
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LEAST_LENGTH)
-_PART = re.compile(r"[A-Za-z0-9]+|[+/_-]+")
+_PART = re.compile(r"[A-Za-z0-9]{%d,}" % LEAST_LENGTH)
+_MARKS = "+/_-"
 _SETS = {name: frozenset(symbols) for name, symbols in ENCODINGS.items()}
 _GROUPS = (frozenset(_DIGITS), frozenset(_UPPER), frozenset(_LOWER))
+_NUMBER = _GROUPS[0] | frozenset(_MARKS)
 
 
 def encoding_of(text: str) -> str | None:
-    """The narrowest encoding of a string; none if it has characters of one kind only."""
+    """The narrowest encoding of a string; none if it has no letter."""
     found = set(text)
-    if sum(not found.isdisjoint(g) for g in _GROUPS) < 2:
+    if found <= _NUMBER:
         return None
     return next((name for name, symbols in _SETS.items() if found <= symbols), None)
 
@@ -151,20 +163,45 @@ def _serial(values: list[int], k: int) -> float:
     return erfc(abs(total) / (variance * sqrt(len(values) - 1)) / sqrt(2))
 
 
-def _tested(run: str) -> list[tuple[int, int, str, float]]:
-    """Start, end, stratum and probability of a run, and of its longest part between marks,
-    since keys often have a prefix of another encoding."""
-    parts = [(0, len(run))]
-    longest = max(_PART.finditer(run), key=lambda m: m.end() - m.start())
-    if LEAST_LENGTH <= longest.end() - longest.start() < len(run):
-        parts.append(longest.span())
+def _tested(text: str, start: int, end: int) -> list[tuple[int, int, str, float, int]]:
+    """Start, end, stratum, probability and rank of a string and of its parts between marks.
+    Rank 0 has the whole or the parts, whichever holds the most random one."""
+    spans = [(start, end)]
+    spans += [m.span() for m in _PART.finditer(text, start, end) if m.span() != (start, end)]
     found = []
-    for start, end in parts:
-        encoding = encoding_of(run[start:end])
+    for s, e in spans:
+        encoding = encoding_of(text[s:e])
         if encoding:
-            where = stratum_of(encoding, end - start)
-            found.append((start, end, where, randomness(run[start:end], encoding)))
-    return found
+            found.append((s, e, stratum_of(encoding, e - s), randomness(text[s:e], encoding)))
+    best = max(found, key=lambda t: t[3], default=None)
+    return [(*t, int((t[:2] == (start, end)) != (best[:2] == (start, end)))) for t in found]
+
+
+def _left_over(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What fixed spans leave of the runs of a text, without marks where it was cut."""
+    out, first = [], 0
+    ends = [(s, e) for s, _, e in base]
+    for m in _RUN.finditer(text):
+        start, end = m.span()
+        while first < len(ends) and ends[first][1] <= start and ends[first][0] <= start:
+            first += 1
+        at = first
+        while at < len(ends) and ends[at][0] < end:
+            s, e = ends[at]
+            if e > start:
+                out.append(_trimmed(text, start, s, start > m.start(), True))
+                start = max(start, e)
+            at += 1
+        out.append(_trimmed(text, start, end, start > m.start(), False))
+    return [(s, e) for s, e in out if e - s >= LEAST_LENGTH]
+
+
+def _trimmed(text: str, start: int, end: int, left: bool, right: bool) -> tuple[int, int]:
+    while left and start < end and text[start] in _MARKS:
+        start += 1
+    while right and end > start and text[end - 1] in _MARKS:
+        end -= 1
+    return start, end
 
 
 def stratum_of(encoding: str, length: int) -> str:
@@ -195,33 +232,30 @@ _LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_LENGTH)
 def candidates(docs: DataFrame) -> DataFrame:
     """Fixed spans and tested strings of every row.
 
-    ``doc_id long, base_kind, base_start, base_end array<int>``, and for strings outside
-    fixed spans ``start, end array<int>, stratum array<string>, p array<double>``.
+    ``doc_id long, base_kind, base_start, base_end array<int>``, and for the strings that fixed
+    spans leave ``start, end array<int>, stratum array<string>, p array<double>``, ``run
+    array<int>`` (a whole and its parts have one number) and ``rank array<int>``.
     """
-    names = ("base_kind", "base_start", "base_end", "start", "end", "stratum", "p")
+    names = ("base_kind", "base_start", "base_end", "start", "end", "stratum", "p", "rank", "run")
 
     def work(rows: pa.RecordBatch) -> dict:
         out: dict = {n: [] for n in names}
         for text in rows.column("text").to_pylist():
             base = fixed_spans(text)
-            tested = []
-            for m in _RUN.finditer(text):
-                if any(s < m.end() and m.start() < e for s, _, e in base):
-                    continue
-                best = max(_tested(m[0]), key=lambda t: t[3], default=None)
-                if best:
-                    tested.append((m.start() + best[0], m.start() + best[1], *best[2:]))
+            tested = [
+                (*t, run) for run, span in enumerate(_left_over(text, base)) for t in _tested(text, *span)
+            ]
             row = [
                 [k for _, k, _ in base],
                 [s for s, _, _ in base],
                 [e for _, _, e in base],
-                *([t[i] for t in tested] for i in range(4)),
+                *([t[i] for t in tested] for i in range(6)),
             ]
             for name, value in zip(names, row):
                 out[name].append(value)
         return out | {"doc_id": rows.column("doc_id")}
 
-    kinds = ["int", "int", "int", "int", "int", "string", "double"]
+    kinds = ["int", "int", "int", "int", "int", "string", "double", "int", "int"]
     schema = ", ".join(["doc_id long", *(f"{n} array<{k}>" for n, k in zip(names, kinds))])
     texts = only(docs, "doc_id", "text").select(
         F.col("doc_id").cast("long"), text_or_empty().alias("text")
@@ -241,12 +275,25 @@ def cutoffs(found: DataFrame) -> dict[str, float]:
     tables: dict[str, list[int]] = {}
     for row in counted.collect():  # strata times STEPS at most
         tables.setdefault(row["stratum"], [0] * STEPS)[row["step"]] = row["n"]
-    return {stratum: _cutoff(counts) for stratum, counts in tables.items()}
+    return {stratum: _cutoff(_completed(stratum, tables)) for stratum in tables}
+
+
+def _completed(stratum: str, tables: dict[str, list[int]]) -> list[float]:
+    """Counts of a stratum, completed by those of other lengths in its encoding."""
+    encoding, length = stratum.split(":")
+    at = LENGTH_CLASSES.index(int(length))
+    counts = [float(n) for n in tables[stratum]]
+    yielding = HALF / (HALF + sum(counts))
+    for i, other in enumerate(LENGTH_CLASSES):
+        if i != at:
+            weight = yielding * NEIGHBOUR ** abs(i - at)
+            for step, n in enumerate(tables.get(f"{encoding}:{other}", ())):
+                counts[step] += weight * n
+    return counts
 
 
-def _cutoff(counts: list[int]) -> float:
-    if sum(counts) < LEAST_COUNT:
-        return PLAIN_CUTOFF
+def _cutoff(counts: list[float]) -> float:
+    counts = [n + PRIOR / STEPS for n in [*counts, *[0] * (STEPS - len(counts))]]
     random = 2 * sum(counts[STEPS // 2 :])
     for step in range(STEPS):
         passing = sum(counts[step:])
@@ -260,22 +307,29 @@ def spans(docs: DataFrame) -> DataFrame:
     in order; code points, end exclusive."""
     found = cut(candidates(docs))
     limits = cutoffs(found)
-    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else None
-    base = F.transform(
-        F.arrays_zip("base_start", "base_kind", "base_end"),
-        lambda t: _span(t["base_start"], t["base_kind"], t["base_end"]),
-    )
-    if limit is None:
-        return found.select("doc_id", base.alias("spans"))
-    passing = F.filter(
-        F.arrays_zip("start", "end", "stratum", "p"), lambda t: t["p"] >= limit[t["stratum"]]
-    )
-    random = F.transform(passing, lambda t: _span(t["start"], F.lit(3), t["end"]))
-    return found.select("doc_id", F.array_sort(F.concat(base, random)).alias("spans"))
+    columns = ("run", "rank", "start", "end", "stratum", "p")
+
+    def work(rows: pa.RecordBatch) -> dict:
+        out: dict = {"kind": [], "start": [], "end": []}
+        base = zip(*(rows.column(f"base_{c}").to_pylist() for c in out))
+        for own, tested in zip(base, zip(*(rows.column(c).to_pylist() for c in columns))):
+            for name, fixed, value in zip(out, own, list(zip(*_passing(zip(*tested), limits))) or [()] * 3):
+                out[name].append([*fixed, *value])
+        return out | {"doc_id": rows.column("doc_id")}
+
+    schema = "doc_id long, kind array<int>, start array<int>, end array<int>"
+    zipped = F.arrays_zip("start", "kind", "end")
+    return in_batches(found, work, schema).select("doc_id", F.array_sort(zipped).alias("spans"))
 
 
-def _span(start: Column, kind: Column, end: Column) -> Column:
-    return F.struct(start.alias("start"), kind.alias("kind"), end.alias("end"))
+def _passing(tested, limits: dict[str, float]) -> list[tuple[int, int, int]]:
+    """Kind, start and end of the strings that pass, of each run those of the least rank."""
+    passing = [t for t in tested if t[5] >= limits[t[4]]]
+    least: dict[int, int] = {}
+    for run, rank, *_ in passing:
+        least[run] = min(rank, least.get(run, rank))
+    random = KINDS.index("random")
+    return [(random, start, end) for run, rank, start, end, *_ in passing if rank == least[run]]
 
 
 def written(spans: Column) -> Column:
