@@ -20,6 +20,7 @@ from outlay.plans.q_spend import _spikes
 from outlay.plans.txn import payments, table
 from outlay.session import scratch_path
 from outlay.streaming import jobs
+from outlay.streaming.runs import Runs
 
 # Days that split the payments into stored rows and a later batch.
 STORED_BEFORE, BATCH_FROM = "1999-01-01", "1998-06-01"
@@ -279,7 +280,7 @@ def stream_totals(spark, sf):
     value = F.col("value").cast("decimal(18,2)")
     arguments = ("ts", "1 day", ["event_type"], value)
     _finish(jobs.stream_totals(events, *arguments, f"{path}/out", f"{path}/state"))
-    written = spark.read.parquet(f"{path}/out")
+    written = Runs(spark, f"{path}/out").read()
     return jobs.running_totals(written, ["window_start", "window_end", "event_type"])
 
 
@@ -344,7 +345,7 @@ def stream_spikes(spark, sf):
     path = scratch_path(spark, "spikes")
     totals, out = f"{path}/totals", f"{path}/out"
     _finish(jobs.stream_spikes(arriving, "fund", totals, out, f"{path}/state"))
-    found = jobs.latest_spikes(spark.read.parquet(out), spark.read.parquet(totals), "fund")
+    found = jobs.latest_spikes(spark.read.parquet(out), Runs(spark, totals).read(), "fund")
     for c, digits in (("baseline_mean", 4), ("baseline_std", 4), ("z", 6), ("ratio", 6)):
         found = found.withColumn(c, F.round(c, digits))
     return found
