@@ -363,7 +363,9 @@ def merge_edges(scored: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
 def review_pairs(scored: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Pairs too weak to merge and too close to ignore, best first."""
     band = (F.col("score") >= t.review) & (F.col("score") < t.merge)
-    reason = F.concat(F.lit("name "), F.format_string("%.3f", "name_similarity"))
+    # Rounds the exact binary value; format_string rounds its shortest decimal form, in which
+    # 0.9125 looks like a tie.
+    reason = F.concat(F.lit("name "), F.format_number("name_similarity", 3))
     return scored.where(band).select(
         F.col("a").alias("normalized_a"), F.col("b").alias("normalized_b"), "score", reason.alias("reason")
     ).orderBy(F.desc("score"), "normalized_a", "normalized_b")

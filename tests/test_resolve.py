@@ -131,3 +131,11 @@ def test_a_payee_with_a_third_of_all_mentions(spark):
     clusters = resolve.clusters_of(counts)
     assert clusters.agg(F.sum("mentions"), F.count("*")).first() == (6000, 4001)
     assert clusters.orderBy(F.desc("mentions")).first().mentions == 2000
+
+
+def test_reason_rounds_the_binary_value(spark):
+    """0.9125 lies just below the tie and 0.0625 on it, which goes to the even digit."""
+    schema = "a string, b string, score double, name_similarity double"
+    rows = [("A", str(i), 0.9, x) for i, x in enumerate([0.9125, 0.0625, 0.8754999, 0.9, 1.0])]
+    found = resolve.review_pairs(spark.createDataFrame(rows, schema)).orderBy("normalized_b").collect()
+    assert [r.reason for r in found] == [f"name {x:.3f}" for *_, x in rows]
