@@ -110,3 +110,22 @@ def test_a_stream_of_many_files(spark, tmp_path):
     assert [(r.level, r.first) for r in runs.current()] == [(1, 0), (0, 8), (0, 9)]
     got = jobs.running_totals(runs.read(), ["window_start", "kind"]).orderBy("window_start").collect()
     assert [(r["total"], r["count"]) for r in got] == [(0 + 3 + 6 + 9, 4), (1 + 4 + 7, 3), (2 + 5 + 8, 3)]
+
+
+def test_stream_has_as_many_micro_batches_as_slices(spark, tmp_path):
+    """Each takes many files, so that several tasks share it, and every row comes once."""
+    from outlay.plans import q_store
+
+    sizes = []
+
+    def sink(df, _):
+        sizes.append((df.count(), df.rdd.getNumPartitions()))
+
+    (tmp_path / "sf").mkdir()
+    rows = spark.range(20_000).selectExpr("id", "date_add(date'2000-01-01', cast(id % 365 as int)) AS day")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/sf/rows.parquet")
+    arriving = q_store.stream(spark, f"{tmp_path}/sf", "rows", "day")
+    running = arriving.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/state")
+    running.trigger(availableNow=True).start().awaitTermination()
+    assert sum(n for n, _ in sizes) == 20_000 and len(sizes) <= q_store.SLICES
+    assert all(parts > 1 for _, parts in sizes)
