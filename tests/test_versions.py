@@ -111,3 +111,13 @@ def test_appended_rows_stay_together(spark, store):
     assert got == {("1", "J"), ("2", "K"), ("3", "K"), ("5", None), ("5b", "J"), ("6", None), ("6b", "J")}
     inside = store.read("transactions").where("jurisdiction_id = 'K'")
     assert "PartitionFilters: [isnotnull(jurisdiction_id" in inside._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_rows_are_read_by_column(spark):
+    from outlay.session import stored
+
+    rows = spark.range(3).selectExpr("id", "map('a', id) AS m", "cast(null AS decimal(18,2)) AS d")
+    kept = stored(rows)
+    assert kept.schema.simpleString() == rows.schema.simpleString()
+    assert sorted(map(str, kept.collect())) == sorted(map(str, rows.collect()))
+    assert "ReadSchema: struct<id:bigint>" in kept.select("id")._jdf.queryExecution().toString()
