@@ -7,7 +7,8 @@ documents, different ones differ, and the holder of the key can undo the permuta
 A candidate that runs into what follows it is cut back to whole groups: a card to the longest
 run of groups with a valid check digit, an IBAN and an international phone number to the
 length of their country. What is left over, and what follows the first group of a candidate
-that fails its check, is searched again. Values that fail their check stay as they are.
+that fails its check, is searched again, until nothing is found. Values that fail their check
+stay as they are.
 
 ========  =====================================  =======================================
 kind      found and checked                      permuted within
@@ -24,7 +25,8 @@ phone     ten digits by the North American       area and exchange from 200, any
 ========  =====================================  =======================================
 
 Everything is column expressions: one pattern finds all candidates of a text, the gaps
-between them are kept, and an array function turns each candidate into its pseudonym.
+between them are kept, and an array function turns each candidate into its pseudonym. A fold
+repeats that for the pieces that are still to be searched.
 
 Defined results: a null text stays null and an empty one empty, both with nothing found;
 repeated rows give equal rows; other columns pass through; an empty table gives no rows.
@@ -32,6 +34,8 @@ repeated rows give equal rows; other columns pass through; an empty table gives
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +70,8 @@ _ENDS = {"date": f"(?:{_AFTER}|(?=T[0-9]{{2}}:))"}
 _EACH = "|".join(f"(?:{form}){_ENDS.get(kind, _AFTER)}" for kind, form in PATTERNS.items())
 CANDIDATE = f"{_BEFORE}(?:{_EACH})"
 _GROUP = "[ .-]?[^ .-]+"
-#: How often what is left over of a candidate is searched again.
-LEVELS = 3
+#: How often what is left over of a candidate is searched again: until nothing is found.
+LEVELS = math.inf
 
 # Characters of an IBAN by country.
 IBAN_LENGTHS = (
@@ -91,7 +95,7 @@ def pseudonymized(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     name = "_pseudonymized"
     while name in {c.lower() for c in docs.columns}:
         name += "_"
-    out = docs.withColumn(name, _searched(text, key, LEVELS))
+    out = docs.withColumn(name, _searched(text, key))
     return out.withColumns({"n_found": F.col(name)["n"], column: F.col(name)["text"]}).drop(name)
 
 
@@ -100,19 +104,56 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _unchanged(text: Column) -> Column:
-    return F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
-
-
-def _searched(text: Column, key: str, levels: int) -> Column:
+def _searched(text: Column, key: str) -> Column:
     """``text`` with pseudonyms and the number of them, as a struct. Text without candidates,
     which is most, isn't taken apart."""
-    if not levels:
-        return _unchanged(text)
-    return F.when(text.rlike(CANDIDATE), _replaced(text, key, levels)).otherwise(_unchanged(text))
+    unchanged = F.struct(text.alias("text"), _count(0).alias("n"))
+    return F.when(text.rlike(CANDIDATE), _replaced(text, key)).otherwise(unchanged)
+
+
+def _count(n: int) -> Column:
+    return F.lit(n).cast("long")
+
+
+def _piece(text: Column, n: Column, again: Column) -> Column:
+    """Text, the number of values replaced in it, and whether it has still to be searched."""
+    return F.struct(text.alias("text"), n.alias("n"), again.alias("again"))
+
+
+def _replaced(text: Column, key: str) -> Column:
+    """Rounds of search, each in all pieces that the one before left to be searched.
+
+    What is put for a candidate ends where a group does, so every later piece begins with a
+    space, dot or hyphen, and a round takes at least that from it. Text has no more rounds than
+    it has of these; when no piece is left, those that follow do nothing.
+    """
+    marks = F.length(F.regexp_replace(text, "[^ .-]", ""))
+
+    def one_round(state: Column, _: Column) -> Column:
+        def taken(piece: Column) -> Column:
+            return F.when(piece["again"], _pieces(piece["text"], key)).otherwise(F.array(piece))
+
+        pieces = F.flatten(F.transform(state["pieces"], taken))
+        return F.when(state["again"], _let(pieces, _state)).otherwise(state)
+
+    start = _state(F.array(_piece(text, _count(0), F.lit(True))))
+    return F.aggregate(
+        F.sequence(F.lit(0), marks),
+        start,
+        one_round,
+        lambda state: F.struct(
+            F.array_join(F.transform(state["pieces"], lambda p: p["text"]), "").alias("text"),
+            F.aggregate(state["pieces"], _count(0), lambda n, p: n + p["n"]).alias("n"),
+        ),
+    )
+
+
+def _state(pieces: Column) -> Column:
+    return F.struct(pieces.alias("pieces"), F.exists(pieces, lambda p: p["again"]).alias("again"))
 
 
-def _replaced(text: Column, key: str, levels: int) -> Column:
+def _pieces(text: Column, key: str) -> Column:
+    """``text`` after one search: for every candidate what is put for it, and what follows."""
     none = F.array(F.lit(None).cast("string"))
     found = F.concat(none, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
     heads = F.transform(found, lambda value: F.struct(value.alias("value"), _head(value).alias("head")))
@@ -125,28 +166,21 @@ def _replaced(text: Column, key: str, levels: int) -> Column:
 
     def with_gap(p: Column, gap: Column) -> Column:
         """A candidate with the text behind it; before the first there is none."""
-        again = _searched(F.concat(p["rest"], gap), key, levels - 1)
-        behind = F.when(p["rest"] == "", _unchanged(gap)).otherwise(again)
-        return F.struct(p["new"].alias("new"), p["changed"].alias("n"), behind.alias("behind"))
-
-    done = F.zip_with(F.transform(named, _settled), F.split(text, CANDIDATE, -1), with_gap)
-    return _let(
-        done,
-        lambda parts: F.struct(
-            F.array_join(
-                F.flatten(F.transform(parts, lambda p: F.array(p["new"], p["behind"]["text"]))), ""
-            ).alias("text"),
-            F.aggregate(
-                parts, F.lit(0).cast("long"), lambda n, p: n + p["n"] + p["behind"]["n"]
-            ).alias("n"),
-        ),
-    )
+        put = _piece(p["new"], p["changed"], F.lit(False))
+        behind = _let(
+            F.concat(p["rest"], gap),
+            lambda t: _piece(t, _count(0), (p["rest"] != "") & t.rlike(CANDIDATE)),
+        )
+        return F.array(put, behind)
+
+    return F.flatten(F.zip_with(F.transform(named, _settled), F.split(text, CANDIDATE, -1), with_gap))
 
 
 def _settled(p: Column) -> Column:
     """What is put for a candidate, and what of it has still to be searched."""
     changed = p["new"] != p["head"]
-    kept = F.when(changed, p["head"]).otherwise(F.regexp_extract(p["value"], f"^{_GROUP}", 0))
+    # A candidate may begin with two dots or hyphens; then the first of them stays.
+    kept = F.when(changed, p["head"]).otherwise(F.regexp_extract(p["value"], f"^(?:{_GROUP}|.)", 0))
     return F.struct(
         F.coalesce(F.when(changed, p["new"]).otherwise(kept), F.lit("")).alias("new"),
         F.coalesce(changed.cast("long"), F.lit(0).cast("long")).alias("changed"),
@@ -216,7 +250,7 @@ def feistel(value: Column, a: Column | int, b: Column | int, key: str, kind: str
             F.when(even, right).otherwise((right + mixed) % b).alias("r"),
         )
 
-    start = F.struct(_quotient(value, b).alias("l"), (value % b).alias("r"))
+    start = _let(value, lambda v: F.struct(_quotient(v, b).alias("l"), (v % b).alias("r")))
     rounds = F.array(*[F.lit(i) for i in range(ROUNDS)])
     return F.aggregate(rounds, start, one_round, lambda h: h["l"] * b + h["r"])
 
@@ -272,10 +306,14 @@ def _digits(value: Column) -> Column:
 def _laid_out(value: Column, digits: Column) -> Column:
     """``value`` with its digits replaced by ``digits`` in turn."""
     before = lambda i: F.length(_digits(F.substring(value, F.lit(1), i)))
-    place = lambda char, i: F.when(
-        char.rlike("^[0-9]$"), F.substring(digits, before(i + 1), F.lit(1))
-    ).otherwise(char)
-    return F.array_join(F.transform(F.split(value, ""), place), "")
+
+    def laid(new: Column) -> Column:
+        place = lambda char, i: F.when(
+            char.rlike("^[0-9]$"), F.substring(new, before(i + 1), F.lit(1))
+        ).otherwise(char)
+        return F.array_join(F.transform(F.split(value, ""), place), "")
+
+    return _let(digits, laid)
 
 
 def _power(n: Column) -> Column:
@@ -285,10 +323,14 @@ def _power(n: Column) -> Column:
 
 def _permuted_digits(digits: Column, key: str, kind: str) -> Column:
     """Two to 18 digits, permuted among those of the same number."""
-    n = F.length(digits)
-    low = (n / 2).cast("int")
-    value = feistel(digits.cast("long"), _power(n - low), _power(low), key, kind)
-    return F.lpad(value.cast("string"), n, F.lit("0"))
+
+    def permuted(own: Column) -> Column:
+        n = F.length(own)
+        low = (n / 2).cast("int")
+        value = feistel(own.cast("long"), _power(n - low), _power(low), key, kind)
+        return F.lpad(value.cast("string"), n, F.lit("0"))
+
+    return _let(digits, permuted)
 
 
 def luhn_sum(digits: Column, doubled: int) -> Column:
@@ -308,8 +350,7 @@ def _card(value: Column, key: str) -> Column:
         F.substring(digits, 1, 1),
         _permuted_digits(F.substring(digits, F.lit(2), F.length(digits) - 2), key, "card"),
     )
-    check = (10 - luhn_sum(payload, 1) % 10) % 10
-    new = F.concat(payload, check.cast("string"))
+    new = _let(payload, lambda p: F.concat(p, ((10 - luhn_sum(p, 1) % 10) % 10).cast("string")))
     return F.when(luhn_sum(digits, 0) % 10 == 0, _laid_out(value, new))
 
 
@@ -319,13 +360,16 @@ def _phone(value: Column, key: str) -> Column:
     own = F.right(digits, F.lit(10))
     area, exchange = (F.substring(own, at, 3).cast("int") for at in (1, 4))
     number = ((area - 200) * 800 + exchange - 200).cast("long") * 10_000 + F.substring(own, 7, 4).cast("long")
-    new = feistel(number, 80_000, 80_000, key, "phone")
-    head = _quotient(new, F.lit(10_000).cast("long"))
-    planned = F.concat(
-        (_quotient(head, F.lit(800).cast("long")) + 200).cast("string"),
-        (head % 800 + 200).cast("string"),
-        F.lpad((new % 10_000).cast("string"), 4, "0"),
-    )
+
+    def written(new: Column) -> Column:
+        head = _quotient(new, F.lit(10_000).cast("long"))
+        return F.concat(
+            (_quotient(head, F.lit(800).cast("long")) + 200).cast("string"),
+            (head % 800 + 200).cast("string"),
+            F.lpad((new % 10_000).cast("string"), 4, "0"),
+        )
+
+    planned = _let(feistel(number, 80_000, 80_000, key, "phone"), written)
     by_plan = (area >= 200) & (exchange >= 200) & ((n == 10) | ((n == 11) & digits.startswith("1")))
     tail = _permuted_digits(F.right(digits, F.lit(8)), key, "phone tail")
     return F.when(
@@ -340,26 +384,34 @@ def _ssn(value: Column, key: str) -> Column:
     )
     used = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
     place = F.when(area > 666, area - 2).otherwise(area - 1)
+
+    def written(new: Column) -> Column:
+        head = _quotient(new, F.lit(9999).cast("long"))
+        at = _quotient(head, F.lit(99).cast("long"))
+        new_area = F.when(at >= 665, at + 2).otherwise(at + 1)
+        parts = ((new_area, 3), (head % 99 + 1, 2), (new % 9999 + 1, 4))
+        return F.concat_ws("-", *[F.lpad(p.cast("string"), n, "0") for p, n in parts])
+
     new = feistel((place * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, key, "ssn")
-    head = _quotient(new, F.lit(9999).cast("long"))
-    at = _quotient(head, F.lit(99).cast("long"))
-    new_area = F.when(at >= 665, at + 2).otherwise(at + 1)
-    parts = ((new_area, 3), (head % 99 + 1, 2), (new % 9999 + 1, 4))
-    return F.when(used, F.concat_ws("-", *[F.lpad(p.cast("string"), n, "0") for p, n in parts]))
+    return F.when(used, _let(new, written))
 
 
 def _ipv4(value: Column, key: str) -> Column:
     parts = F.transform(F.split(value, "\\."), lambda p: p.cast("long"))
     number = F.aggregate(parts, F.lit(0).cast("long"), lambda total, p: total * 256 + p)
     new = feistel(number, 65_536, 65_536, key, "ipv4")
-    return F.concat_ws(".", *[(F.shiftright(new, s) % 256).cast("string") for s in (24, 16, 8, 0)])
+    numbers = lambda n: [(F.shiftright(n, s) % 256).cast("string") for s in (24, 16, 8, 0)]
+    return _let(new, lambda n: F.concat_ws(".", *numbers(n)))
 
 
 def _date(value: Column, key: str) -> Column:
     """Year first, or year last; then the day comes first, but with slashes the month does,
     unless it is above 12."""
+    return _let(F.split(value, "[^0-9]"), lambda parts: _date_of(value, parts, key))
+
+
+def _date_of(value: Column, parts: Column, key: str) -> Column:
     mark = F.regexp_extract(value, "[^0-9]", 0)
-    parts = F.split(value, "[^0-9]")
     year_first = F.length(parts[0]) == 4
     day_first = ~year_first & ((mark != "/") | (parts[0].cast("int") > 12))
     fields = F.when(year_first, F.array(parts[0], parts[1], parts[2])).when(
@@ -368,18 +420,25 @@ def _date(value: Column, key: str) -> Column:
     padded = F.transform(fields, lambda p, i: F.when(i > 0, F.lpad(p, 2, "0")).otherwise(p))
     day = F.array_join(padded, "-").try_cast("date")
     since = F.date_diff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
-    inside = (since >= 0) & (since < DAYS[0] * DAYS[1])
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel(since, *DAYS, key, "date").cast("int"))
-    made = [F.year(new), F.month(new), F.dayofmonth(new)]
-    text = [
-        F.when(F.length(fields[i]) == 1, n.cast("string")).otherwise(F.lpad(n.cast("string"), 4 if i == 0 else 2, "0"))
-        for i, n in enumerate(made)
-    ]
-    year, month, dom = text
-    laid = F.when(year_first, F.concat_ws("-", year, month, dom)).when(
-        day_first, F.concat_ws("-", dom, month, year)
-    ).otherwise(F.concat_ws("-", month, dom, year))
-    return F.when(inside, F.replace(laid, F.lit("-"), mark))
+    size = F.transform(fields, lambda p, i: F.when(F.length(p) == 1, 1).when(i == 0, 4).otherwise(2))
+
+    def written(new: Column) -> Column:
+        numbers = F.transform(F.array(F.year(new), F.month(new), F.dayofmonth(new)), lambda n: n.cast("string"))
+        text = F.zip_with(numbers, size, lambda n, at_least: F.lpad(n, F.greatest(at_least, F.length(n)), F.lit("0")))
+
+        def laid(ymd: Column) -> Column:
+            year, month, dom = ymd[0], ymd[1], ymd[2]
+            return F.when(year_first, F.concat(year, mark, month, mark, dom)).when(
+                day_first, F.concat(dom, mark, month, mark, year)
+            ).otherwise(F.concat(month, mark, dom, mark, year))
+
+        return _let(text, laid)
+
+    def moved(since: Column) -> Column:
+        new = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel(since, *DAYS, key, "date").cast("int"))
+        return F.when((since >= 0) & (since < DAYS[0] * DAYS[1]), _let(new, written))
+
+    return _let(since, moved)
 
 
 def _remainder(text: Column) -> Column:
@@ -401,11 +460,13 @@ def _iban(value: Column, key: str) -> Column:
     last = F.least(F.length(digits), F.lit(16))
     tail = _permuted_digits(F.right(digits, last), key, "iban")
     new_digits = F.concat(F.substring(digits, F.lit(1), F.length(digits) - last), tail)
-    new_account = _laid_out(account, new_digits)
-    check = 98 - _remainder(F.concat(new_account, country, F.lit("00")))
-    new = F.concat(F.lpad(check.cast("string"), 2, "0"), new_digits)
+
+    def checked(own: Column) -> Column:
+        check = 98 - _remainder(F.concat(_laid_out(account, own), country, F.lit("00")))
+        return F.concat(F.lpad(check.cast("string"), 2, "0"), own)
+
     valid = _remainder(F.concat(account, F.substring(plain, 1, 4))) == 1
-    return F.when(valid & (F.length(digits) >= 2), _laid_out(value, new))
+    return F.when(valid & (F.length(digits) >= 2), _laid_out(value, _let(new_digits, checked)))
 
 
 def _email(value: Column, key: str) -> Column:

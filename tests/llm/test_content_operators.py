@@ -500,6 +500,27 @@ def test_random_texts_against_a_plain_scan(spark, documents):
     assert [(r["text"], r["n_found"]) for r in rows] == want
 
 
+def test_left_over_text_is_searched_until_nothing_is_found(spark, documents):
+    card, phone = "4111 1111 1111 1111", "+44 20 7946 0958"
+    # Each leading group makes a candidate of its own that fails; the value is the last one.
+    texts = [card, f"1 2 3 {card}", f"{card} {card} {phone} 988-555-2485 {card}", "--@-.aa x", "..@--.aa"]
+    texts += ["7 " * 30 + card, "1-" * 40 + f" {card}"]
+    rows = pii.pseudonymized(documents([(i, t, "en", "s") for i, t in enumerate(texts)]), "k").orderBy("doc_id").collect()
+    new = [r["text"] for r in rows]
+    assert new[1] == f"1 2 3 {new[0]}" and rows[1]["n_found"] == 1
+    assert card not in new[2] and phone not in new[2] and "988-555-2485" not in new[2]
+    assert new[3:5] == texts[3:5] and card not in new[6]
+    known = {}
+    while True:
+        asked = set()
+        want = [_replaced(texts[i], lambda v: known.get(v) or asked.add(v) or v) for i in (1, 2, 5, 6)]
+        if not asked:
+            break
+        ask = spark.createDataFrame([(v,) for v in sorted(asked)], "v string")
+        known |= {r["v"]: r["p"] for r in ask.select("v", pii.pseudonym(F.col("v"), "k").alias("p")).collect()}
+    assert [(rows[i]["text"], rows[i]["n_found"]) for i in (1, 2, 5, 6)] == want
+
+
 def test_messy_texts_stay(messy):
     rows = pii.pseudonymized(messy, "k")
     assert Counter((r["doc_id"], r["text"]) for r in rows.collect()) == Counter(
