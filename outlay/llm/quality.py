@@ -189,7 +189,9 @@ def judged(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
         estimate = cut(_concentrated(fit, estimate))
     wider = sound.select("stratum", "_wider").distinct()
     languages = wider.select(F.col("_wider").alias("stratum"), F.lit(ALL).alias("_wider")).distinct()
-    by_language = _drawn(estimate.join(languages, "stratum"), estimate)
+    # One row: a join by its constant key would pair all partitions with each other.
+    of_all = F.broadcast(estimate.where(F.col("stratum") == ALL))
+    by_language = _drawn(estimate.join(languages, "stratum"), of_all)
     estimate = cut(_drawn(estimate.join(wider, "stratum"), by_language))
     stats = stats.drop("_wider")
     measured = join_rules(stats.where(~F.col("base_failed")), estimate, ["stratum"])

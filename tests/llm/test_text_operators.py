@@ -379,3 +379,17 @@ def test_empty_tables(empty):
 def test_word_length_statistic(documents):
     row = quality.text_statistics(documents([(1, "abcd " * 60, "en", "s")])).first()
     assert row["word_length"] == round(log1p(4) / 8 * quality.GRID)
+
+
+def test_quality_pairs_no_partitions_with_each_other(documents, monkeypatch):
+    plans, cut = [], quality.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(quality, "cut", seen)
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = documents([(i, f"{text} {i}", "en", f"s{i % 2}") for i in range(8)])
+    assert quality.judged(quality.text_statistics(rows)).where("kept").count() == 8
+    assert plans and not any("CartesianProduct" in p for p in plans)
