@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from outlay.plans import registered
+from outlay.plans import q_normalize, registered
 from outlay.plans.txn import payments, table
 
 SMALL = "/root/testdata/sf0.001"
@@ -115,3 +115,10 @@ def test_text_operators_may_be_absent(monkeypatch):
     alone = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(alone)
     assert alone.queries().keys() == registered.queries().keys() == alone.oracle_sql().keys()
+
+
+def test_rejects_are_told_after_the_amount_is_parsed_once(spark):
+    lines = q_normalize.normalized(spark, SMALL).records.select("category", "amount")
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    # Below the scan's shuffle the test would stand with the text of the amount once per use.
+    assert plan.count("try_cast") == 1 and plan.count("format_number") <= 3
