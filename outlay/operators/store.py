@@ -87,8 +87,10 @@ def business_key(columns: tuple[str, ...]) -> Column:
 
 
 def last_wins(df: DataFrame, key: list[str], order: Column) -> DataFrame:
-    """The last row of every key. Each task keeps one row per key before the shuffle."""
-    return ranked(df, key, [order.desc()], 1).drop("rank")
+    """The last row of every key. Each task keeps one row per key before the shuffle. Sorting
+    starts with a number, so that texts and structs are hardly ever compared."""
+    hashed = df.withColumn("_place", F.xxhash64(*key))
+    return ranked(hashed, ["_place", *key], [order.desc()], 1).drop("rank", "_place")
 
 
 def any_order(df: DataFrame) -> Column:
@@ -509,15 +511,23 @@ class Store:
         self, batch: DataFrame, table: str, columns: tuple[str, ...], order: Column | None
     ) -> Counts:
         """Of rows with one business key the last by ``order`` stays."""
-        # Many rows may share a business key, so tasks drop all but one before they are shuffled.
-        keyed = last_wins(
-            batch.withColumn("_key", business_key(columns)),
-            ["_key"],
-            order if order is not None else any_order(batch),
-        ).drop("_key")
-        with self._staged(keyed) as keyed:
-            key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
-            return self._merge(keyed, table, key, "jurisdiction_id", moves=False)
+        key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+        given = [] if order is None else [order.alias("_order")]
+        with self._staged(batch.select("*", *given)) as rows:
+            if not self._repeated(rows, key):
+                return self._merge(rows, table, key, "jurisdiction_id", moves=False)
+            latest = F.col("_order") if given else any_order(rows)
+            fewer = last_wins(rows.withColumn("_key", business_key(columns)), ["_key"], latest).drop("_key")
+            with self._staged(fewer) as rows:
+                return self._merge(rows, table, key, "jurisdiction_id", moves=False)
+
+    @staticmethod
+    def _repeated(rows: DataFrame, key: list[Column]) -> bool:
+        """Whether most rows repeat another one's key, so that it pays to drop all but one of a
+        key in every task before they are shuffled."""
+        distinct = F.approx_count_distinct(F.xxhash64(*key)).alias("distinct")
+        found = rows.agg(F.count(F.lit(1)).alias("rows"), distinct).first()
+        return 2 * found["distinct"] < found["rows"]
 
     def save_vendors(
         self, vendors: DataFrame, variants: DataFrame, affected: DataFrame | None = None

@@ -59,3 +59,22 @@ def test_null_keys_and_stored_repeats_stay(spark, store):
     assert (counts.inserted, counts.updated) == (2, 1)
     kept = [("", "J", 1), ("", "J", 2), ("", "J", 8), ("1", "J", 10), ("2", "J", 5), ("2", "J", 6), ("4", "J", 11)]
     assert rows_of(store.read("transactions")) == kept
+
+
+def test_keys_that_hardly_repeat_are_not_dropped_before_the_shuffle(spark, store, monkeypatch):
+    called = []
+    last_wins = st.last_wins
+    monkeypatch.setattr(st, "last_wins", lambda *a: called.append(1) or last_wins(*a))
+    columns = "jurisdiction_id string, vendor_name_normalized string, amount decimal(18,2), term_start date"
+    few = spark.createDataFrame([("J", f"v{i}", Decimal(i), None) for i in range(20)], columns)
+    store.save_contracts(few)
+    assert not called and store.read("contracts").count() == 20
+    store.save_contracts(few.crossJoin(spark.range(5)).drop("id"))
+    assert called and store.read("contracts").count() == 20
+
+
+def test_last_wins_sorts_by_a_number_first(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4)], "k string, n long")
+    last = st.last_wins(rows.withColumn("key", F.struct("k")), ["key"], F.col("n"))
+    assert "Sort [_place" in plan_of(last) and sorted(r.n for r in last.collect()) == [2, 4]
+    assert last.columns == ["k", "n", "key"]
