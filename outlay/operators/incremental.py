@@ -85,11 +85,16 @@ def empty_state(spark: SparkSession) -> State:
 
 
 def signed_counts(added: DataFrame, removed: DataFrame | None) -> DataFrame:
-    """Counts of the values of a batch; what is removed counts below zero."""
-    columns = ["name_raw", "norm", *PLACE]
-    rows = added.select(*columns, F.lit(1).alias("sign"))
+    """Counts of the values of a batch; what is removed counts below zero. A row is as many
+    mentions as its column ``n`` says, or one."""
+
+    def signed(rows: DataFrame, sign: int) -> DataFrame:
+        number = F.col("n") if "n" in rows.columns else F.lit(1)
+        return rows.select("name_raw", "norm", *PLACE, (sign * number).cast("long").alias("sign"))
+
+    rows = signed(added, 1)
     if removed is not None:
-        rows = rows.unionByName(removed.select(*columns, F.lit(-1).alias("sign")))
+        rows = rows.unionByName(signed(removed, -1))
     return resolve.value_counts(rows, F.sum("sign"))
 
 

@@ -92,7 +92,7 @@ def mentions_of(txns: DataFrame) -> DataFrame:
 
 def value_counts(mentions: DataFrame, number: Column | None = None) -> DataFrame:
     """Long table ``(norm, field, value, n)`` of every named cluster; ``number`` says how many
-    mentions a group of rows is, one each by default.
+    mentions a group of rows is. By default a row is as many as its column ``n`` says, or one.
 
     Equal mentions are counted first, so a payee with a third of all payments is a few
     rows before its values are spread out. Field ``mentions`` counts the cluster itself.
@@ -102,10 +102,12 @@ def value_counts(mentions: DataFrame, number: Column | None = None) -> DataFrame
         F.nullif(F.col("norm"), F.lit("")),
         F.lit(UNKNOWN_VENDOR),
     )
+    if number is None:
+        number = F.sum("n") if "n" in mentions.columns else F.count(F.lit(1))
     equal = (
         mentions.where(F.coalesce("norm", F.lit("")) != "")
         .groupBy("norm", name.alias("name"), "city", "state", "zip")
-        .agg((F.count(F.lit(1)) if number is None else number).alias("n"))
+        .agg(number.alias("n"))
     )
     fields = [F.struct(F.lit("mentions").alias("field"), F.col("norm").alias("value"))] + [
         F.struct(F.lit(f).alias("field"), strip(F.col(f)).alias("value"))
@@ -503,9 +505,11 @@ def vendor_tables(
 
 
 def resolve_vendors(mentions: DataFrame, t: Thresholds = Thresholds()) -> Resolution:
-    """Run all stages. Shared intermediate tables are checkpointed once."""
+    """Run all stages. Shared intermediate tables are checkpointed once. Clusters are few bytes
+    but much work to compare, so they are dealt to all tasks whatever their size."""
     counts = cut(value_counts(mentions))
-    clusters = cut(clusters_of(counts))
+    tasks = max(mentions.sparkSession.sparkContext.defaultParallelism, counts.rdd.getNumPartitions())
+    clusters = cut(clusters_of(counts).repartition(tasks, "norm"))
     scored = cut(score_pairs(candidate_pairs(clusters, t)))
     edges = merge_edges(scored, t)
     labels = component_labels(edges)

@@ -16,6 +16,7 @@ from outlay.operators import explore, incremental, resolve
 from outlay.plans.catalog import CTES, query, sql
 from outlay.plans.q_normalize import payees
 from outlay.plans.txn import table
+from outlay.session import stored
 
 # Jaro by its definition. The built-in function of the SQL side rounds half transpositions
 # down. Walks over the characters of a, marking the characters of b that are taken.
@@ -112,7 +113,10 @@ _VENDOR = (*_LABEL, "summed", "vendor")
 
 
 def mentions(spark, sf):
-    lines = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    """Parts as payees with the number ``n`` of their mentions. Lines are counted by part before
+    they meet names, since there are many more of them than parts."""
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey"))
+    lines = lines.agg(F.count(F.lit(1)).alias("n"))
     named = payees(spark, sf).withColumn("name_raw", F.upper("name_raw"))
     return lines.join(named.withColumn("norm", names.vendor_key(F.col("name_raw"))), "p_partkey")
 
@@ -244,11 +248,11 @@ JOIN vendor USING (component) GROUP BY vendor_id""",
     ),
 )
 def resolve_assignment(spark, sf):
-    rows = mentions(spark, sf)
+    rows = stored(mentions(spark, sf))
     assignment = resolve.resolve_vendors(rows).assignment
     assigned = rows.join(assignment.withColumnRenamed("vendor_name_normalized", "norm"), "norm")
     return assigned.groupBy("vendor_id").agg(
-        F.count(F.lit(1)).alias("mentions"), F.count_distinct("p_partkey").alias("parts")
+        F.sum("n").alias("mentions"), F.count_distinct("p_partkey").alias("parts")
     )
 
 
