@@ -22,6 +22,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,12 +58,14 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
     ordered = cut(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
     task = F.shiftright("_id", 33)
     counts = ordered.groupBy(task.alias("t")).agg(F.count("*").alias("n")).orderBy("t").collect()
-    before, total = [], 0
+    before, total = {"_task": [], "_before": []}, 0
     for row in counts:
-        before.append((row["t"], total))
+        before["_task"].append(row["t"])
+        before["_before"].append(total)
         total += row["n"]
-    # A row per task, so small whatever the rows.
-    known = df.sparkSession.createDataFrame(before, "_task long, _before long")
+    # A row per task, so small whatever the rows. Arrow tables need no Python workers to be read.
+    places = pa.schema([("_task", pa.int64()), ("_before", pa.int64())])
+    known = df.sparkSession.createDataFrame(pa.table(before, schema=places))
     inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     return (
         ordered.withColumn("_task", task.cast("long"))

@@ -17,7 +17,6 @@ rows are packed once each; an empty table gives no rows; a null ``doc_id`` stays
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlay.llm.base import coded_words, in_batches, only, partitions_for, text_or_empty
+from outlay.llm.base import coded_words, in_batches, kept_by_worker, only, partitions_for, text_or_empty
 from outlay.session import cut
 
 CAPACITY = 2048
@@ -109,9 +108,9 @@ class WordIds:
         return [(w, ids[a:b]) for w, a, b in zip(words, cuts, cuts[1:])]
 
 
-@lru_cache(maxsize=1)
+@kept_by_worker
 def encoder(path: str) -> WordIds:
-    """One per worker, which keeps it from task to task."""
+    """One per worker, which keeps it from task to task while it tokenizes."""
     return WordIds(path)
 
 
@@ -138,7 +137,8 @@ def tokenize(
         return out
 
     texts = only(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
-    return in_batches(texts, work, f"{PIECE}, ids binary" if with_ids else PIECE, SLICE)
+    schema = f"{PIECE}, ids binary" if with_ids else PIECE
+    return in_batches(texts, work, schema, SLICE, keeps="encoder")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, cell_pieces: int = CELL_PIECES) -> DataFrame:
