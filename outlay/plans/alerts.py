@@ -25,9 +25,9 @@ def run_alerts(
     if not batches:
         return 0
     pending = store.read("spend_events").where(F.col("event_batch").isin(batches))
-    found = ev.alert_matches(pending, subscriptions, views)
-    of_event = pending.select("dedupe_key", "event_batch")
-    deliveries = found.join(of_event, "dedupe_key").select(
+    # Keys are stored once.
+    found = ev.alert_matches(pending, subscriptions, views, unique=True, also=("event_batch",))
+    deliveries = found.select(
         "user_id",
         "saved_view_id",
         "dedupe_key",
